@@ -15,18 +15,16 @@ def strip_blanks(c: Column) -> Column:
     return F.regexp_replace(c, f"^{_BLANK}+|{_BLANK}+$", "")
 
 
+#: Blanks, a URI path, `ns<digits>__`, the slug, any `_inbound`, slashes and blanks, over lower-case text.
+_SLUG = rf"(?s)^{_BLANK}*(?:[a-z][a-z0-9+.-]*://\S*[/#](?=[^/\s]))?(?:ns\d+__)?(.*?)(?:_inbound)*/*{_BLANK}*$"
+
+
 def bare_slug(c: Column) -> Column:
     """A relation type as a bare lower-case slug, or null when null or blank.
 
-    Outer blanks, a URI path before the slug, a prefix `ns<digits>__`, an ending `_INBOUND` and letter
-    case do not count.
+    Outer blanks, a URI path before the slug, a prefix `ns<digits>__`, an ending `_INBOUND` and letter case do not count.
     """
-    s = F.lower(strip_blanks(c))
-    s = F.regexp_replace(s, r"/+$", "")
-    s = F.regexp_replace(s, r"^[a-z][a-z0-9+.-]*://\S*[/#]", "")
-    s = F.regexp_replace(s, r"^ns\d+__", "")
-    s = strip_blanks(F.regexp_replace(s, r"(_inbound)+$", ""))
-    return F.when(s != "", s)
+    return F.nullif(F.regexp_extract(F.lower(c), _SLUG, 1), F.lit(""))
 
 
 def hub_key(c: Column) -> Column:
