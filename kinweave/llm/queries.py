@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.functions.uris import bare_slug
-from kinweave.llm import termfreq
+from kinweave.functions.uris import bare_slug, strip_blanks
+from kinweave.llm import canonical, termfreq
 from kinweave.session import read
 
 
@@ -24,7 +24,25 @@ def p1_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return _related_terms(spark, d).withColumnRenamed("term", "value")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies)}
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "rdf_relation").select("row_id", "relType").filter(strip_blanks(F.col("relType")) != "")
+    ref = read(spark, d, "reltype_ref")
+    uses = rows.groupBy(F.col("relType").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    typed = rows.join(F.broadcast(ref.select(F.col("slug").alias("relType"))), "relType", "left_anti")  # the fixed list
+    return canonical.map_values(typed, "relType", canonical.build(ref, "slug", "label", uses), "slug")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The slug meant by every free-entered relation type, or `[unmatched]`."""
+    return _mapped(spark, d).select("row_id", "slug").distinct()
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """How often each value that means no entry of the list was entered."""
+    return _mapped(spark, d).filter(F.col("slug") == canonical.UNMATCHED).groupBy("relType").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_unmatched)}
 
 _SLUG = r"""nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace("relType", '^[\s\xa0]+|[\s\xa0]+$', '', 'g')),
   '/+$', ''), '^[a-z][a-z0-9+.-]*://\S*[/#]', ''), '^ns[0-9]+__', ''), '(_inbound)+$', '')), '')"""
