@@ -16,6 +16,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from kinweave.session import python_path
 
@@ -208,7 +209,7 @@ def map_values(df: DataFrame, column: str, dictionary: Dictionary, out: str) ->
     python_path(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(dictionary)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lookup = shared.value.lookup
         for s in batches:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.uris import bare_slug, strip_blanks
-from kinweave.llm import canonical, termfreq
+from kinweave.llm import canonical, consistent, termfreq
 from kinweave.session import read
 
 
@@ -42,7 +42,23 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(spark, d).filter(F.col("slug") == canonical.UNMATCHED).groupBy("relType").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_unmatched)}
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    own = read(spark, d, "biblio").select("id", "title", "author")
+    return own.unionByName(read(spark, d, "partner_record").select(F.col("ext_id").alias("id"), "title", "author"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every title and author that is not stored in the consistent form."""
+    return consistent.inconsistent(_texts(spark, d), "id", ["title", "author"]).select("id", "field").distinct()
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """All titles and authors in their consistent form."""
+    t = _texts(spark, d)
+    return t.select("id", *[consistent.consistent_column(spark, F.col(c)).alias(c) for c in ("title", "author")]).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_unmatched, p4_found, p4_forms)}
 
 _SLUG = r"""nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace("relType", '^[\s\xa0]+|[\s\xa0]+$', '', 'g')),
   '/+$', ''), '^[a-z][a-z0-9+.-]*://\S*[/#]', ''), '^ns[0-9]+__', ''), '(_inbound)+$', '')), '')"""
