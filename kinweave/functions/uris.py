@@ -27,16 +27,27 @@ def bare_slug(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(c), _SLUG, 1), F.lit(""))
 
 
-def hub_key(c: Column) -> Column:
-    """The hub a URI names, as `host/resources/hubs/<id>`, or null when its path is not `/resources/hubs/...`.
+#: How a URI with a hub path begins; cheap, as it never looks past the path's first character.
+_HUB_START = rf"^{_BLANK}*(?i:https?)://[^/?#\s]+{HUB_PATH}[^?#/\s\u00a0]"
+#: Host and path of a hub URI, without suffix, final slashes, blanks, query and fragment.
+_HUB = rf"(?s)^{_BLANK}*(?i:https?)://([^/?#\s]+)({HUB_PATH}[^?#]*?[^?#/\s\u00a0])/*(?:\.(?i:rdf|json|html))?/*{_BLANK}*(?:[?#].*)?$"
+
+
+def is_hub_uri(c: Column) -> Column:
+    """Whether a URI has a path `/resources/hubs/...`."""
+    return c.rlike(_HUB_START)
+
+
+def hub_name(c: Column) -> Column:
+    """The hub that a URI with a hub path names, as `host/resources/hubs/<id>`.
 
     Scheme, case of the host, outer blanks, fragment, query, final slashes and one suffix `.rdf`, `.json` or `.html`
-    do not count.
+    do not count. Only to be used where `is_hub_uri` holds.
     """
-    s = F.regexp_replace(strip_blanks(c), r"[#?].*$", "")
-    host = F.lower(F.regexp_extract(s, r"^(?i)https?://([^/]+)/", 1))
-    path = F.regexp_extract(s, r"^(?i)https?://[^/]+(/.*)$", 1)
-    path = F.regexp_replace(path, r"/+$", "")
-    path = F.regexp_replace(path, r"(?i)\.(rdf|json|html)$", "")
-    path = F.regexp_replace(path, r"/+$", "")
-    return F.when(path.startswith(HUB_PATH) & (F.length(path) > len(HUB_PATH)), F.concat(host, path))
+    x = F.regexp_replace(c, _HUB, "$1$2")
+    return F.concat(F.lower(F.substring_index(x, "/", 1)), F.substr(x, F.instr(x, "/")))
+
+
+def hub_key(c: Column) -> Column:
+    """`hub_name`, or null where the path is not `/resources/hubs/...`."""
+    return F.when(is_hub_uri(c), hub_name(c))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.uris import hub_key
+from kinweave.functions.uris import hub_name, is_hub_uri
 
 #: At most this many keys are checked by broadcast; a key outside them has at most 1/HEAVY_KEYS of the references.
 HEAVY_KEYS = 64
@@ -21,12 +21,10 @@ HEAVY_MIN_ROWS = 20_000
 
 
 def references(df: DataFrame, src_table: str, row_id: str, uri: str, at: str) -> DataFrame:
-    """One row per reference: `src_table, row_id, key, at, period`; references that name no hub path are left out."""
-    key = hub_key(F.col(uri))
-    return (
-        df.select(F.lit(src_table).alias("src_table"), F.col(row_id).cast("long").alias("row_id"), key.alias("key"), F.col(at).alias("at"))
-        .filter(F.col("key").isNotNull())
-        .withColumn("period", F.date_format("at", "yyyy-MM"))
+    """One row per reference: `src_table, row_id, key, at, period` (the first of the month); references that name no hub path are left out."""
+    c = F.col(uri)
+    return df.filter(is_hub_uri(c)).select(
+        F.lit(src_table).alias("src_table"), F.col(row_id).cast("long").alias("row_id"), hub_name(c).alias("key"), F.col(at).alias("at"), F.trunc(at, "month").alias("period")
     )
 
 
@@ -37,8 +35,8 @@ def lifetimes(hub: DataFrame, uri: str = "hub_uri", created: str = "created_at",
     """
     epoch = F.lit("0001-01-01 00:00:00").cast("timestamp")
     return (
-        hub.select(hub_key(F.col(uri)).alias("key"), F.coalesce(F.col(created), epoch).alias("born"), F.col(deleted).alias("died"))
-        .filter(F.col("key").isNotNull())
+        hub.filter(is_hub_uri(F.col(uri)))
+        .select(hub_name(F.col(uri)).alias("key"), F.coalesce(F.col(created), epoch).alias("born"), F.col(deleted).alias("died"))
         .groupBy("key")
         .agg(F.min("born").alias("born"), F.when(F.count("died") == F.count(F.lit(1)), F.max("died")).alias("died"))
     )
@@ -48,14 +46,21 @@ def _reason(at: Column, found: Column, born: Column, died: Column) -> Column:
     return F.when(found.isNull(), "missing").when(born > at, "late").when(died <= at, "deleted")
 
 
+def _month(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM").alias(c)
+
+
 def _counted(refs: DataFrame) -> DataFrame:
     return refs.groupBy("key", "src_table", "period").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
 def heavy_keys(refs: DataFrame, keys: int = HEAVY_KEYS, min_rows: int = HEAVY_MIN_ROWS) -> list[str]:
-    """The at most `keys` most referenced keys with at least `min_rows` references; ends in a top-k, so its size is fixed."""
-    top = refs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key").limit(keys)
-    return sorted(r["key"] for r in top.collect() if r["n"] >= min_rows)
+    """Up to `keys` of the most referenced keys with at least `min_rows` references.
+
+    A frequent-items sketch finds them, so nothing but sketches is shuffled. Which keys it names affects speed only.
+    """
+    top = refs.agg(F.expr(f"approx_top_k(key, {keys}, {64 * keys})").alias("top")).first()["top"]
+    return sorted(x["item"] for x in top or () if x["count"] >= min_rows)
 
 
 def _split(refs: DataFrame, hub: DataFrame, heavy: list[str]) -> list[tuple[DataFrame, DataFrame]]:
@@ -90,7 +95,7 @@ def orphan_rows(refs: DataFrame, hub: DataFrame, heavy: list[str] | None = None)
             met = r.join(s, (r.key == s.s_key) & (r.src_table == s.s_src_table) & r.period.eqNullSafe(s.s_period))
         else:
             met = r.join(t, "key", "left")
-        parts.append(met.select("src_table", "row_id", "period", _reason(F.col("at"), F.col("found"), F.col("born"), F.col("died")).alias("reason")).filter("reason is not null"))
+        parts.append(met.select("src_table", "row_id", _month("period"), _reason(F.col("at"), F.col("found"), F.col("born"), F.col("died")).alias("reason")).filter("reason is not null"))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
@@ -102,7 +107,7 @@ def orphan_keys(refs: DataFrame, hub: DataFrame, heavy: list[str] | None = None)
     heavy = heavy_keys(refs) if heavy is None else heavy
     parts = [_counted(r).join(h, "key", "left_anti") for r, h in _split(refs, hub, heavy)]
     every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy("src_table", "period").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").alias("orphan_refs"))
+    return every.groupBy("src_table", _month("period")).agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").alias("orphan_refs"))
 
 
 def orphan_report(rows: DataFrame) -> DataFrame:
