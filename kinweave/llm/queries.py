@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.uris import bare_slug, strip_blanks
-from kinweave.llm import canonical, consistent, termfreq
+from kinweave.llm import canonical, consistent, termfreq, variants
 from kinweave.session import read
 
 
@@ -58,7 +58,20 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", *[consistent.consistent_column(spark, F.col(c)).alias(c) for c in ("title", "author")]).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_unmatched, p4_found, p4_forms)}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of headings of one person or organisation."""
+    pairs = variants.variant_pairs(variants.variant_classes(read(spark, d, "agent_heading"), "heading_id", "author", "dates"))
+    return pairs.select(F.col("a").alias("heading_a"), F.col("b").alias("heading_b"))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each heading with the smallest heading of its person or organisation, and the size of that group."""
+    c = variants.variant_classes(read(spark, d, "agent_heading"), "heading_id", "author", "dates").distinct()
+    g = c.groupBy("class").agg(F.min("key").alias("first_heading"), F.count(F.lit(1)).alias("n_headings"))
+    return c.join(g, "class").select(F.col("key").alias("heading_id"), "first_heading", "n_headings")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_unmatched, p4_found, p4_forms, p2_found, p2_classes)}
 
 _SLUG = r"""nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace("relType", '^[\s\xa0]+|[\s\xa0]+$', '', 'g')),
   '/+$', ''), '^[a-z][a-z0-9+.-]*://\S*[/#]', ''), '^ns[0-9]+__', ''), '(_inbound)+$', '')), '')"""
