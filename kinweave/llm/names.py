@@ -152,7 +152,7 @@ def typo_limit(n: int) -> int:
 def _alike(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    most = typo_limit(min(len(a), len(b)))
+    most = typo_limit(max(len(a), len(b))) if min(len(a), len(b)) > 2 else 0
     d = osa(a, b, most)
     return 1.0 - 0.12 * d if d <= most else 0.0
 
@@ -167,8 +167,9 @@ def given_agreement(a: str, b: str) -> float:
     fa, fb = _FULL.get(a), _FULL.get(b)
     if fa and fb:
         return 0.9 if fa & fb else 0.75 if a not in NICKNAMES and any(f.startswith(a) for f in fb) or b not in NICKNAMES and any(f.startswith(b) for f in fa) else 0.0
-    if len(short) <= 4 and full.startswith(short) or any(f.startswith(short) for f in _FULL.get(full, ()) if len(short) <= 4):
-        return 0.8
+    for x, y in ((a, b), (b, a)):
+        if len(x) <= 4 and (y.startswith(x) or any(f.startswith(x) for f in _FULL.get(y, ()))):
+            return 0.8
     return 0.85 if (x := _alike(a, b)) else x
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.uris import bare_slug, strip_blanks
-from kinweave.llm import canonical, consistent, termfreq, variants
+from kinweave.llm import canonical, consistent, linkage, termfreq, variants
 from kinweave.session import read
 
 
@@ -71,7 +71,23 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return c.join(g, "class").select(F.col("key").alias("heading_id"), "first_heading", "n_headings")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_unmatched, p4_found, p4_forms, p2_found, p2_classes)}
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    own = read(spark, d, "biblio").select(F.col("id").alias("key"), "title", "author", F.col("lccn").alias("ident"), F.get("publishDate", F.lit(0)).alias("year"))
+    other = read(spark, d, "partner_record").select(F.col("ext_id").alias("key"), "title", "author", F.col("lccn").alias("ident"), F.col("publish_year").alias("year"))
+    return linkage.link(own, other)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every biblio record with each partner record of the same publication."""
+    return _linked(spark, d).select("id", "ext_id")
+
+
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The matches with their confidence."""
+    return _linked(spark, d).withColumn("confidence", F.round("confidence", 6))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_unmatched, p4_found, p4_forms, p2_found, p2_classes, p5_found, p5_confidence)}
 
 _SLUG = r"""nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace("relType", '^[\s\xa0]+|[\s\xa0]+$', '', 'g')),
   '/+$', ''), '^[a-z][a-z0-9+.-]*://\S*[/#]', ''), '^ns[0-9]+__', ''), '(_inbound)+$', '')), '')"""
