@@ -205,5 +205,6 @@ def variant_classes(df: DataFrame, key: str, author: str, dates: str | None = No
 
 def variant_pairs(classes: DataFrame) -> DataFrame:
     """Every pair of different keys of one class, smaller first. The size of this listing is quadratic in a class by definition."""
-    a = classes.select(F.col("key").alias("a"), "class").distinct()
-    return a.join(a.select(F.col("key").alias("b"), "class"), "class").filter("a < b").select("a", "b").distinct()
+    one = classes.select("key", "class").distinct()
+    a, b = one.select(F.col("key").alias("a"), "class"), one.select(F.col("key").alias("b"), "class")
+    return a.join(b, "class").filter("a < b").select("a", "b").distinct()
