@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.uris import bare_slug, strip_blanks
-from kinweave.llm import canonical, consistent, linkage, termfreq, variants
+from kinweave.llm import canonical, consistent, leakage, linkage, termfreq, variants
 from kinweave.session import read
 
 
@@ -87,14 +87,40 @@ def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _linked(spark, d).withColumn("confidence", F.round("confidence", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_unmatched, p4_found, p4_forms, p2_found, p2_classes, p5_found, p5_confidence)}
+def _leaks(spark: SparkSession, d: str, **how) -> DataFrame:
+    return leakage.leaks(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_item"), "item_id", "text", **how)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluation item and document that share at least 12 consecutive words."""
+    return _leaks(spark, d).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
+
+
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with up to one word of 12 changed, added or left out."""
+    return _leaks(spark, d, max_edits=1).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), "edits")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked items, and in how many documents each is."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_unmatched, p4_found, p4_forms, p2_found, p2_classes, p5_found, p5_confidence, p9_found, p9_near, p9_items)}
 
 _SLUG = r"""nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace("relType", '^[\s\xa0]+|[\s\xa0]+$', '', 'g')),
   '/+$', ''), '^[a-z][a-z0-9+.-]*://\S*[/#]', ''), '^ns[0-9]+__', ''), '(_inbound)+$', '')), '')"""
 _TERMS = f"""WITH r AS (SELECT {_SLUG} AS value, "sourceUri" AS s FROM related), n AS (SELECT count(DISTINCT s) AS n FROM r),
  t AS (SELECT value, count(*) AS occurrences, count(DISTINCT s) AS records FROM r WHERE value IS NOT NULL GROUP BY value),
  m AS (SELECT t.*, CASE WHEN records <= 1 OR records * 1000 <= n THEN 'rare' WHEN records > 0.25 * n THEN 'common' END AS mark FROM t, n)"""
+_W = "list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_SHARED = f"""WITH i AS (SELECT item_id, {_W.format(c='text')} AS w FROM eval_item), d AS (SELECT doc_id, {_W.format(c='text')} AS w FROM documents),
+ iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+ dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+ shared AS (SELECT DISTINCT item_id, doc_id FROM iw JOIN dw USING (g))"""
 SQL = {
+    "p9_found": f"{_SHARED} SELECT item_id, doc_id FROM shared",
+    "p9_items": f"{_SHARED} SELECT item_id, count(*) AS n_documents FROM shared GROUP BY ALL",
     "p1_found": f"{_TERMS} SELECT value, mark FROM m WHERE mark IS NOT NULL",
     "p1_frequencies": f"{_TERMS} SELECT value, occurrences, records, mark FROM m",
 }
