@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.uris import bare_slug, strip_blanks
-from kinweave.llm import canonical, consistent, leakage, linkage, termfreq, variants
+from kinweave.llm import canonical, consistent, leakage, linkage, packing, splitting, termfreq, tokens, variants
 from kinweave.session import read
 
 
@@ -106,7 +106,32 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_unmatched, p4_found, p4_forms, p2_found, p2_classes, p5_found, p5_confidence, p9_found, p9_near, p9_items)}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in its container of 1,024 tokens."""
+    c = packing.containers(read(spark, d, "documents"), "doc_id", "text")
+    return c.withColumnRenamed("doc", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers there are, at least needed, and how full they are."""
+    c = packing.containers(read(spark, d, "documents"), "doc_id", "text")
+    t = c.groupBy("container").agg(F.sum("tokens").alias("used"))
+    least = F.ceil(F.sum("used") / packing.CAPACITY)
+    return t.agg(F.count(F.lit(1)).alias("n_containers"), least.alias("least_containers"), F.max("used").alias("most_used"), F.round(F.sum("used") / (F.count(F.lit(1)) * packing.CAPACITY), 6).alias("fill"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that must be cut, in tokens that need no vocabulary."""
+    pieces = splitting.split(read(spark, d, "documents"), "doc_id", "text", vocabulary=tokens.PLAIN, with_text=False)
+    return pieces.filter("piece = 1").select(F.col("doc").alias("doc_id")).distinct()  # a second piece exists
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of all documents, in tokens of a public tokenizer."""
+    return splitting.split(read(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_unmatched, p4_found, p4_forms, p2_found, p2_classes, p5_found, p5_confidence, p9_found, p9_near, p9_items, p8_containers, p8_fill, p10_found, p10_pieces)}
 
 _SLUG = r"""nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace("relType", '^[\s\xa0]+|[\s\xa0]+$', '', 'g')),
   '/+$', ''), '^[a-z][a-z0-9+.-]*://\S*[/#]', ''), '^ns[0-9]+__', ''), '(_inbound)+$', '')), '')"""
@@ -119,6 +144,8 @@ _SHARED = f"""WITH i AS (SELECT item_id, {_W.format(c='text')} AS w FROM eval_it
  dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
  shared AS (SELECT DISTINCT item_id, doc_id FROM iw JOIN dw USING (g))"""
 SQL = {
+    "p10_found": r"""SELECT DISTINCT doc_id FROM documents
+        WHERE len(regexp_extract_all(regexp_replace(text, '[\p{Hiragana}\p{Katakana}\p{Han}]', ' x ', 'g'), '[\p{L}\p{N}_]+|[^\s]')) > 512""",
     "p9_found": f"{_SHARED} SELECT item_id, doc_id FROM shared",
     "p9_items": f"{_SHARED} SELECT item_id, count(*) AS n_documents FROM shared GROUP BY ALL",
     "p1_found": f"{_TERMS} SELECT value, mark FROM m WHERE mark IS NOT NULL",
