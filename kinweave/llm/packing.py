@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.tokens import VOCABULARY, tokenizer
-from kinweave.session import python_path
+from kinweave.session import checkpoint, python_path
 
 CAPACITY = 1024
 #: Mean number of texts in a shard.
@@ -151,7 +151,7 @@ def containers(docs: DataFrame, doc_id: str, text: str, vocabulary: str = VOCABU
     """
     n = docs.count()  # of the footers only, for a table of files
     shards = max(1, ceil(n / shard))
-    sized = sizes(docs, doc_id, text, vocabulary).filter("size > 0").distinct()
+    sized = checkpoint(sizes(docs, doc_id, text, vocabulary).filter("size > 0").distinct())  # two integers a text; tokenized once
     full, rest = F.floor(F.col("size") / capacity).cast("long"), F.col("size") % capacity
     cap = F.lit(capacity).cast("long")
     whole = sized.filter(F.col("size") >= capacity).select("doc", "size", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("part"))
