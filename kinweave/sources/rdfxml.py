@@ -112,6 +112,8 @@ def parse(payloads: DataFrame, config: Config = Config(), dedup: bool = True) ->
         parser = Parser(config)
         for pdf in batches:
             rows = [r for u, b in zip(pdf["hub_uri"], pdf["body"]) if (r := parser.parse(u, b)) is not None]
+            if not rows:
+                continue
             out = pd.DataFrame(rows, columns=["uri", "title", "agents", "media", "relations"])
             names = ("targetUri", "relType", "title", "isDirect")
             out["relations"] = [[dict(zip(names, x)) for x in (one_per_target(r) if dedup else r)] for r in out["relations"]]
