@@ -135,6 +135,10 @@ def consistent(text: str | None) -> str | None:
     return flat if flat.isascii() else _WORD.sub(lambda m: m.group() if m.group().isascii() else _one_alphabet(m.group()), flat)
 
 
+#: Printable ASCII from end to end; such text is in the form already.
+_ORDINARY = r"\A[ -~]*\z"
+
+
 @F.pandas_udf(StringType())
 def _consistent_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
@@ -147,7 +151,7 @@ def consistent_column(spark, c: Column) -> Column:
     Texts of printable ASCII are in the form already and never leave the JVM.
     """
     python_path(spark)
-    return F.when(c.rlike(r"^[ -~]*$"), c).otherwise(_consistent_udf(c))
+    return F.when(c.rlike(_ORDINARY), c).otherwise(_consistent_udf(c))
 
 
 def inconsistent(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -155,4 +159,4 @@ def inconsistent(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     python_path(df.sparkSession)
     long = df.select(F.col(key).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("stored")) for f in fields])).alias("x")).select("id", "x.*")
     # Only values with an unusual character reach Python.
-    return long.filter(~F.col("stored").rlike(r"^[ -~]*$")).withColumn("form", _consistent_udf("stored")).filter("form <> stored")
+    return long.filter(~F.col("stored").rlike(_ORDINARY)).withColumn("form", _consistent_udf("stored")).filter("form <> stored")

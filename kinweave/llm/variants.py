@@ -63,7 +63,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for initial in initials:
                     for sub, side in _subs(name):
                         out.append((form, f"{name.kind}|{text}|{initial}", name.kind, text, initial, sub, side))
-        yield pd.DataFrame(out, columns=["form", "node", "kind", "text", "initial", "sub", "side"])
+        if out:
+            yield pd.DataFrame(out, columns=["form", "node", "kind", "text", "initial", "sub", "side"])
 
 
 def grams(text: str) -> dict[str, int]:
