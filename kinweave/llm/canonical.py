@@ -213,7 +213,7 @@ def map_values(df: DataFrame, column: str, dictionary: Dictionary, out: str) ->
     def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lookup = shared.value.lookup
         for s in batches:
-            table = {v: (lookup(v) if v.strip() else None) for v in s.dropna().unique()}
-            yield s.map(table)
+            table = {v: (lookup(v) if v.strip() else None) for v in set(s.dropna())}
+            yield pd.Series([table.get(v) for v in s], dtype=object)
 
     return df.withColumn(out, mapped(F.col(column)))

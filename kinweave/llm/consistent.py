@@ -142,7 +142,7 @@ _ORDINARY = r"\A[ -~]*\z"
 @F.pandas_udf(StringType())
 def _consistent_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(consistent, na_action="ignore")
+        yield pd.Series([consistent(v) if isinstance(v, str) else None for v in s], dtype=object)
 
 
 def consistent_column(spark, c: Column) -> Column:
