@@ -15,12 +15,15 @@ def not_bnode(type_uri: Column) -> Column:
     return type_uri.isNull() | ~type_uri.startswith("bnode")
 
 
+def between_hubs(graph: Graph) -> DataFrame:
+    """Relations whose both ends are hubs. A semi-join needs no distinct side, and a small one is broadcast."""
+    hub, r = broadcast_if_small(graph.hub.select("hub_uri")), graph.relation
+    return r.join(hub, r.source_uri == hub.hub_uri, "left_semi").join(hub, r.target_uri == hub.hub_uri, "left_semi")
+
+
 def typed_relations(graph: Graph, config: Config = Config()) -> DataFrame:
     """`source_uri, target_uri, rel_type` between hubs: one row per type, `related` without any, none when all are bnodes."""
-    hub = graph.hub.select("hub_uri").distinct()
-    r = graph.relation
-    r = r.join(hub, r.source_uri == hub.hub_uri, "left_semi").join(hub, r.target_uri == hub.hub_uri, "left_semi")
-    t = r.join(graph.relation_type, "relation_id", "left").filter(not_bnode(F.col("type_uri")))
+    t = between_hubs(graph).join(graph.relation_type, "relation_id", "left").filter(not_bnode(F.col("type_uri")))
     return t.select("source_uri", "target_uri", X.relation_slug(F.col("type_uri"), config).alias("rel_type"))
 
 
@@ -70,9 +73,7 @@ def type_frequencies(graph: Graph, config: Config = Config()) -> DataFrame:
 def degrees(graph: Graph) -> DataFrame:
     """`hub_uri, out_rels, in_rels` of every hub, over relations between hubs; each side is counted on its own."""
     hub = graph.hub.select("hub_uri").distinct()
-    r = graph.relation
-    r = r.join(hub, r.source_uri == hub.hub_uri, "left_semi").join(hub, r.target_uri == hub.hub_uri, "left_semi")
-    ends = r.select(F.inline(F.array(F.struct(F.col("source_uri").alias("hub_uri"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target_uri").alias("hub_uri"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
+    ends = between_hubs(graph).select(F.inline(F.array(F.struct(F.col("source_uri").alias("hub_uri"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target_uri").alias("hub_uri"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
     n = ends.groupBy("hub_uri").agg(F.sum("o").alias("out_rels"), F.sum("i").alias("in_rels"))
     zero = F.lit(0).cast("long")
     return hub.join(n, "hub_uri", "left").select("hub_uri", F.coalesce("out_rels", zero).alias("out_rels"), F.coalesce("in_rels", zero).alias("in_rels"))

@@ -345,9 +345,10 @@ _BEST = """few AS (SELECT * FROM (SELECT id, hub_uri, row_number() OVER (PARTITI
 best AS (SELECT id, hub_uri, rels FROM (SELECT few.id, few.hub_uri, out_rels + in_rels AS rels, row_number() OVER (PARTITION BY few.id ORDER BY out_rels + in_rels DESC, few.hub_uri) AS rn
   FROM few JOIN deg ON few.hub_uri = deg.hub_uri) WHERE rn = 1)"""
 _ORIGINAL = "rtrim(p_name || ' :', ' /;:,.')"
-_RDF = f"""{Q.GRAPH}, pl AS (SELECT r.source_uri, r.target_uri, r.relation_id, coalesce(t.type_uri, '') AS type_uri,
+_PL = f"""pl AS (SELECT r.source_uri, r.target_uri, r.relation_id, coalesce(t.type_uri, '') AS type_uri,
   CASE WHEN starts_with(t.type_uri, '{_ENT}') THEN replace(t.type_uri, '{_ENT}', '') WHEN t.type_uri IN ('{_VOC}relatedwork', '{_VOC}translatedas', '{_VOC}partof', '{_VOC}expressionof') THEN replace(t.type_uri, '{_VOC}', '')
   ELSE 'relatedwork' END AS rel_type FROM g_relation r LEFT JOIN g_relation_type t ON r.relation_id = t.relation_id WHERE r.target_uri LIKE '%/resources/hubs/%')"""
+_RDF = f"{Q.GRAPH}, {_PL}"
 _RDF_ONE = f"WITH {_RDF} SELECT source_uri, target_uri, rel_type FROM (SELECT *, row_number() OVER (PARTITION BY source_uri, target_uri ORDER BY rel_type = 'relatedwork', relation_id, type_uri) AS rn FROM pl) WHERE rn = 1"
 _LEGACY = f"""{Q.GRAPH}, de AS (SELECT DISTINCT '{_H}' || l_partkey AS source_uri, (['ns0__translationOf', 'ns0__relatedTo', 'ns0__arrangementOf'])[l_linenumber % 3 + 1] AS edge_type, '{_H}' || b_part AS target_uri FROM e WHERE l_suppkey % 3 = 0),
 ty AS (SELECT DISTINCT source_uri, replace(type_uri, '{_ENT}', '') AS t, target_uri FROM g_relation JOIN g_relation_type USING (relation_id) WHERE target_uri IN (SELECT hub_uri FROM g_hub) AND NOT starts_with(type_uri, 'bnode')),
@@ -377,6 +378,18 @@ SQL = {
     "resolve_cascade": f"""WITH {_BM}, {_BEST.format(good='good')} SELECT p_partkey AS id, CASE p_size % 4 WHEN 2 THEN hub_uri WHEN 3 THEN NULL ELSE '{_H}' || p_partkey END AS hub_uri,
         CASE p_size % 4 WHEN 0 THEN 'marc' WHEN 1 THEN 'lccn' WHEN 2 THEN 'title' ELSE 'none' END AS strategy FROM part LEFT JOIN best ON best.id = p_name""",
     "verify_lccn": "SELECT p_partkey AS id, p_size % 2 = 0 AS verified FROM part",
+    "label_strategy": f"""WITH {_LABELS}, r AS (SELECT DISTINCT hub_uri, author, CASE WHEN p_size % 5 = 0 THEN 'label_author_uniform' WHEN p_size % 5 = 1 THEN 'label_uniform' WHEN p_size % 2 = 0 THEN 'suggest_author_title' ELSE 'none' END AS strategy FROM lab)
+        SELECT strategy, count(*) AS n_records, count(*) FILTER (strategy <> 'none') AS n_found FROM r GROUP BY 1""",
+    "related_works": f"""WITH {_LOG}, {Q.SCORED}, {_PL},
+        ro AS (SELECT *, {Q.clean('rel_type')} AS slug FROM (SELECT *, row_number() OVER (PARTITION BY source_uri, target_uri ORDER BY rel_type = 'relatedwork', relation_id, type_uri) AS rn FROM pl) WHERE rn = 1),
+        rk AS (SELECT ro.*, coalesce(f.freq, 0) AS freq, mx.max_freq, {Q.tier('slug')} AS tier, len({Q.specific('c.media')}) AS nm FROM ro CROSS JOIN mx LEFT JOIN freq f ON slug = f.rel_type LEFT JOIN ctx c ON target_uri = c.hub_uri),
+        rs AS (SELECT *, least(100.0::DOUBLE, {Q._BASE.format(t='tier')} + {Q.rarity('freq', 'max_freq')} + 5.0 + CASE WHEN nm > 0 THEN 8.0 ELSE 0.0 END) AS score FROM rk),
+        rr AS (SELECT *, row_number() OVER (PARTITION BY source_uri ORDER BY score DESC, target_uri) AS rank FROM rs),
+        every AS (SELECT 'rdf' AS source, source_uri, target_uri, rel_type, score, rank FROM rr
+          UNION ALL SELECT 'graph', source_uri, target_uri, rel_type, score, rank FROM ranked WHERE source_uri NOT IN (SELECT source_uri FROM rr)),
+        w AS (SELECT every.*, p_partkey AS id, row_number() OVER (PARTITION BY p_partkey ORDER BY rank) AS shown_rank FROM every JOIN part ON source_uri = '{_H}' || p_partkey
+          WHERE rank <= 45 AND target_uri IN (SELECT uri FROM live WHERE valid))
+        SELECT id, source, source_uri, target_uri, rel_type, round(score, 6) AS score, rank, shown_rank FROM w WHERE shown_rank <= 15""",
     "base_work": f"WITH {_LABELS}, b AS (SELECT DISTINCT label, {_base('label')} AS base FROM lab), l AS (SELECT label, min(hub_uri) AS hub_uri FROM lab GROUP BY 1) SELECT b.label AS id, l.hub_uri FROM b JOIN l ON b.base = l.label WHERE b.base <> b.label",
     "marc_index_doc": """SELECT 'show-' || p_partkey AS id, t AS title, lower(t) AS title_sort, CASE WHEN p_size % 5 = 0 THEN p_type ELSE p_brand END AS author, CASE WHEN p_size % 2 = 0 THEN 'eng' ELSE 'fre' END AS lang,
         CASE WHEN p_size % 7 <> 0 THEN (1900 + p_size)::VARCHAR ELSE '1850' END AS date, 'marc' AS record_format FROM (SELECT *, p_name || CASE WHEN p_size % 2 = 0 THEN ': ' || p_type ELSE '' END AS t FROM part) WHERE p_size % 9 <> 0""",

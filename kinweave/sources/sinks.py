@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -44,6 +45,15 @@ def read_log(spark: SparkSession, path: str, as_of: Column, ttl_seconds: int) ->
     return spark.read.parquet(path).filter(F.col("checked_at") > as_of - F.make_interval(secs=F.lit(ttl_seconds)))
 
 
+def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], ttl_seconds: int) -> DataFrame:
+    """A materialised table, built again when it is missing or older than its time to live; such as the type frequencies."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath) or time.time() - fs.getFileStatus(jpath).getModificationTime() / 1000 >= ttl_seconds:
+        write_table(build(), path)
+    return spark.read.parquet(path)
+
+
 def decode_rows(answer: Column, columns: list[str]) -> Column:
     """Rows of a graph server's JSON answer `{results: [{columns, data: [{row: [...]}]}]}` as structs of texts."""
     parsed = F.from_json(answer, "results array<struct<columns array<string>, data array<struct<row array<string>>>>>, errors array<struct<code string, message string>>")

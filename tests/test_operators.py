@@ -119,3 +119,35 @@ def test_streamed_log(spark, tmp_path):
     cache_log.append(log, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     out = sinks.read_log(spark, str(tmp_path / "out"), F.lit(NOW + timedelta(hours=1)), 86_400)
     assert out.count() == 3
+
+
+def test_cached_table(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.createDataFrame([("sequel", len(built))], "rel_type string, freq long")
+
+    path = str(tmp_path / "freq")
+    assert [sinks.cached_table(spark, path, build, ttl).first()["freq"] for ttl in (60, 60, 0)] == [1, 1, 2]
+
+
+def test_seed_only_when_the_index_is_empty(spark):
+    """Documents that the index holds already are not loaded again."""
+    from kinweave.sources import marc
+
+    docs = spark.createDataFrame([("a-1",), ("a-2",)], "id string")
+    assert marc.not_loaded(docs, docs.limit(0)).count() == 2 and marc.not_loaded(docs, docs).count() == 0
+    assert marc.count_by_prefix(docs, "a").first()[0] == 2 and marc.count_by_prefix(docs, "b").first()[0] == 0
+
+
+def test_sibling_search(spark):
+    hubs = spark.createDataFrame([("h1", "A. Hamlet"), ("h2", "A. Hamlet. Russian"), ("h3", "B. Faust")], "uri string, aLabel string")
+    got = R.siblings(spark.createDataFrame([("k", "A. Hamlet. Selections")], "id string, aLabel string"), hubs)
+    assert {r["uri"] for r in got.collect()} == {"h1", "h2"}
+    assert got.count() == 2
+
+
+def test_verified_hits(spark):
+    df = spark.createDataFrame([("1", [("u", (["12 34"],))], "1234"), ("2", [("u", (None,))], "1"), ("3", None, "1"), ("4", [("u", (["1"],))], None)], "id string, hits array<struct<uri string, more struct<identifiers array<string>>>>, lccn string")
+    assert [r["v"] for r in df.select("id", R.verified(F.col("hits"), F.col("lccn")).alias("v")).orderBy("id").collect()] == [True, False, False, False]
