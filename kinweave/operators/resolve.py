@@ -93,40 +93,49 @@ def by_lccn(records: DataFrame, graph: Graph) -> DataFrame:
     return r.join(ids, "key").select("id", "hub_uri")
 
 
-def title_tokens(graph: Graph) -> DataFrame:
-    """`title_node, hub_uri, token, tf, length` over every title of every title node."""
-    flat = graph.title.select("hub_uri", "title_node", F.explode(F.filter(F.split(F.lower(F.array_join("main_titles", " ")), r"[^\p{L}\p{N}#]+"), lambda t: t != "")).alias("token"))
-    tf = flat.groupBy("hub_uri", "title_node", "token").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.withColumn("length", F.sum("tf").over(Window.partitionBy("title_node")))
+def _tokens(c: Column) -> Column:
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}#]+"), lambda t: t != "")
 
 
 def title_search(queries: DataFrame, graph: Graph, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """`id, title_node, hub_uri, relevance`: title nodes that hold every word of the query `id, title`, by BM25.
 
-    A leading article does not count. Postings are joined on words; only words of the queries are ever shuffled beside them.
+    A leading article does not count. Queries are searched once per distinct text, and joined on their rarest word alone: the
+    other words are looked for in what that brings, so common words are never met with their whole list of titles.
     """
-    post = title_tokens(graph)
-    n = graph.title.agg(F.count(F.lit(1)).cast("double")).scalar()
-    mean = graph.title.select(F.size(F.filter(F.split(F.lower(F.array_join("main_titles", " ")), r"[^\p{L}\p{N}#]+"), lambda t: t != "")).alias("l")).agg(F.avg("l")).scalar()
-    q = queries.select("id", F.explode(F.array_distinct(F.filter(F.split(F.lower(X.strip_article(F.col("title"))), r"[^\p{L}\p{N}#]+"), lambda t: t != ""))).alias("token"))
-    q = q.join(q.groupBy("id").agg(F.count(F.lit(1)).alias("n_terms")), "id")
-    asked = post.join(q.select("token").distinct(), "token", "left_semi")
-    df = asked.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    hits = q.join(asked.join(df, "token").withColumn("part", part), "token").groupBy("id", "n_terms", "title_node", "hub_uri").agg(F.sum("part").alias("relevance"), F.count(F.lit(1)).alias("n_hit"))
-    return hits.filter("n_hit = n_terms").select("id", "title_node", "hub_uri", "relevance")
+    asked = queries.select("id", X.strip_article(F.col("title")).alias("text")).filter("text <> ''")
+    nodes = graph.title.select("hub_uri", "title_node", _tokens(F.array_join("main_titles", " ")).alias("held"))
+    n, mean = nodes.agg(F.count(F.lit(1)).cast("double")).scalar(), nodes.agg(F.avg(F.size("held"))).scalar()
+    post = nodes.select("hub_uri", "title_node", "held", F.explode(F.array_distinct("held")).alias("token"))
+    often = post.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    q = asked.select("text").distinct().select("text", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("token"), F.size(F.array_distinct(_tokens(F.col("text")))).alias("n_terms"))
+    q = q.join(often, "token").groupBy("text", "n_terms").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("terms")).filter(F.size("terms") == F.col("n_terms"))
+    met = q.select("text", "terms", F.col("terms")[0]["token"].alias("token")).join(post, "token")
+    met = met.filter(F.size(F.array_except(F.transform("terms", lambda t: t["token"]), F.col("held"))) == 0).withColumns({"n": n, "mean": mean})
+
+    def part(t: Column) -> Column:
+        tf = F.size(F.filter("held", lambda x: x == t["token"])).cast("double")
+        idf = F.log(1.0 + (F.col("n") - t["df"] + 0.5) / (t["df"] + 0.5))
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("held") / F.col("mean")))
+
+    found = met.select("text", "title_node", "hub_uri", F.aggregate("terms", F.lit(0.0), lambda s, t: s + part(t)).alias("relevance"))
+    return asked.join(found, "text").select("id", "title_node", "hub_uri", "relevance")
 
 
 def by_title(queries: DataFrame, graph: Graph, degrees: DataFrame, config: Config = Config()) -> DataFrame:
-    """`id, hub_uri, rels`: of the most relevant hubs of each query (as many as `title_candidates`), the best connected one."""
-    hits = title_search(queries, graph).filter(F.col("relevance") > config.title_threshold)
+    """`id, hub_uri, rels`: of the most relevant hubs of each query (as many as `title_candidates`), the best connected one.
+
+    Each distinct title is answered once, however many records ask for it.
+    """
+    asked = queries.select("id", X.strip_article(F.col("title")).alias("text"))
+    texts = asked.select(F.col("text").alias("id"), F.col("text").alias("title")).filter("title <> ''").distinct()
+    hits = title_search(texts, graph).filter(F.col("relevance") > config.title_threshold)
     hubs = hits.groupBy("id", "hub_uri").agg(F.max("relevance").alias("relevance"))
     w = Window.partitionBy("id").orderBy(F.desc(F.round("relevance", 9)), "hub_uri")
     few = hubs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= config.title_candidates)
     n = degrees.select("hub_uri", (F.col("out_rels") + F.col("in_rels")).alias("rels"))
     best = few.join(n, "hub_uri").groupBy("id").agg(F.min(F.struct((-F.col("rels")).alias("r"), "hub_uri")).alias("b"))
-    return best.select("id", "b.hub_uri", (-F.col("b.r")).alias("rels"))
+    return asked.join(best.select(F.col("id").alias("text"), "b"), "text").select("id", "b.hub_uri", (-F.col("b.r")).alias("rels"))
 
 
 def cascade(records: DataFrame, graph: Graph, degrees: DataFrame, suggest: DataFrame | None = None, config: Config = Config()) -> DataFrame:

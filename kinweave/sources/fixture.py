@@ -23,7 +23,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem")
     a = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")
     b = li.select(F.col("l_orderkey").alias("b_order"), (F.col("l_linenumber") - 1).alias("b_line"), F.col("l_partkey").alias("b_part"))
-    return a.join(b, (F.col("l_orderkey") == F.col("b_order")) & (F.col("l_linenumber") == F.col("b_line"))).withColumn(
+    # A merge join also where a broadcast would do: it spreads what a single small file would leave in one task.
+    return a.join(b.hint("merge"), (F.col("l_orderkey") == F.col("b_order")) & (F.col("l_linenumber") == F.col("b_line"))).withColumn(
         "relation_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "b_part")
     )
 
@@ -47,11 +48,14 @@ def graph(spark: SparkSession, d: str, config: Config = Config()) -> Graph:
 
     e = edges(spark, d)
     target = F.when(F.col("l_orderkey") % 41 == 0, F.concat(F.lit(f"http://{config.host}/resources/works/"), "b_part")).otherwise(hub_uri(F.col("b_part"), config))
-    relation = e.select("relation_id", hub_uri(F.col("l_partkey"), config).alias("source_uri"), target.alias("target_uri")).distinct()
+    # The identifier determines both ends, so grouping by it alone is a distinct whose partitioning later joins use.
+    ends = e.select("relation_id", hub_uri(F.col("l_partkey"), config).alias("source_uri"), target.alias("target_uri"))
+    relation = ends.groupBy("relation_id").agg(F.first("source_uri").alias("source_uri"), F.first("target_uri").alias("target_uri"))
     vocabulary, entities = config.relationship_prefixes
     slug = F.element_at(F.array(*map(F.lit, SLUGS)), (F.floor(F.col("l_quantity") * F.col("l_quantity") / 108) + 1).cast("int"))
     typed = F.concat(F.when(F.col("l_linestatus") == "O", vocabulary).otherwise(entities), slug)
     first = F.when((F.col("l_returnflag") == "N") & (F.col("l_suppkey") % 20 == 3), F.concat(F.lit("bnode://"), "relation_id")).otherwise(typed)
     second = F.when(F.col("l_quantity") % 9 == 0, F.lit(f"{vocabulary}relatedwork"))
-    types = e.filter("l_suppkey % 17 <> 0").select("relation_id", F.explode(F.array_compact(F.array(first, second))).alias("type_uri")).distinct()
+    types = e.filter("l_suppkey % 17 <> 0").select("relation_id", F.array_compact(F.array(first, second)).alias("t"))
+    types = types.groupBy("relation_id").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("t")).select("relation_id", F.explode("t").alias("type_uri"))
     return Graph(hub, title, agent, kind, identifier, relation, types)
