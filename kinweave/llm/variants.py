@@ -10,6 +10,7 @@ link set is ever brought into one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -136,40 +137,37 @@ def average_linkage(edges: DataFrame, least: float = LINKAGE) -> DataFrame:
 
     A pair without an edge counts as similarity 0. Ties are broken by the identifiers, so the result is the same each run.
     """
-    edges = checkpoint(edges.select("a", "b", F.col("sim").alias("total"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
-    merged: DataFrame | None = None
+    one = F.lit(1).cast("long")
+    edges = checkpoint(edges.select("a", "b", F.col("sim").alias("total"), one.alias("na"), one.alias("nb")))
+    rounds: list[DataFrame] = []
     while True:
         mean = F.col("total") / (F.col("na") * F.col("nb"))
         near = edges.withColumn("mean", mean).filter(F.col("mean") >= least)
         rank = F.struct(F.col("mean"), (-F.col("a")).alias("ra"), (-F.col("b")).alias("rb"))
-        ends = near.select(F.col("a").alias("x"), rank.alias("rank"), "a", "b").unionByName(near.select(F.col("b").alias("x"), rank.alias("rank"), "a", "b"))
-        best = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), "rank").alias("p"))
+        best = near.select(F.explode(F.array("a", "b")).alias("x"), rank.alias("rank"), F.struct("a", "b", "na", "nb").alias("p")).groupBy("x").agg(F.max_by("p", "rank").alias("p"))
         # The pair that both of its ends chose.
-        pairs = checkpoint(best.groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(F.col("p.b").alias("gone"), F.col("p.a").alias("into")))
+        pairs = checkpoint(best.groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(F.col("p.b").alias("gone"), F.col("p.a").alias("into"), (F.col("p.na") + F.col("p.nb")).alias("size")))
         if pairs.isEmpty():
-            return merged if merged is not None else pairs.select(F.col("gone").alias("node"), F.col("into").alias("cluster"))
-        if merged is None:
-            merged = pairs.select(F.col("gone").alias("node"), F.col("into").alias("cluster")).unionByName(pairs.select(F.col("into").alias("node"), F.col("into").alias("cluster")))
-        else:
-            moved = merged.join(pairs, F.col("cluster") == F.col("gone"), "left").select("node", F.coalesce("into", "cluster").alias("cluster"))
-            fresh = pairs.select(F.explode(F.array("gone", "into")).alias("node"), F.col("into").alias("cluster")).join(merged.select("node"), "node", "left_anti")
-            merged = moved.unionByName(fresh)
-        merged = checkpoint(merged.distinct())
-        # Relabel the ends, add up what joins the same clusters, and give each cluster its new size.
-        e = edges.select("a", "b", "total", "na", "nb")
+            break
+        rounds.append(pairs)
+        # Relabel the ends, with the size of what they now belong to, and add up what joins the same clusters.
+        moved = pairs.select(F.explode(F.array("gone", "into")).alias("node"), "into", "size")
+        e = edges
         for end, size in (("a", "na"), ("b", "nb")):
-            p = pairs.select(F.col("gone").alias(end), F.col("into").alias("to"))
-            e = e.join(p, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        sizes = merged.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        e = (
-            e.filter("a <> b")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total")
-            .groupBy("a", "b")
-            .agg(F.sum("total").alias("total"))
-            .join(sizes.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a", "left")
-            .join(sizes.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b", "left")
+            m = moved.select(F.col("node").alias(end), F.col("into").alias("to"), "size")
+            e = e.join(m, end, "left").withColumns({end: F.coalesce("to", end), size: F.coalesce("size", size)}).drop("to", "size")
+        swap = F.col("a") > F.col("b")
+        e = e.filter("a <> b").select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total", F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")
         )
-        edges = checkpoint(e.select("a", "b", "total", F.coalesce("na", F.lit(1)).alias("na"), F.coalesce("nb", F.lit(1)).alias("nb")))
+        edges = checkpoint(e.groupBy("a", "b").agg(F.sum("total").alias("total"), F.max("na").alias("na"), F.max("nb").alias("nb")))
+    # Where each node ended: the rounds' moves one after the other.
+    if not rounds:
+        return pairs.select(F.col("gone").alias("node"), F.col("into").alias("cluster"))
+    nodes = reduce(DataFrame.unionByName, [p.select(F.explode(F.array("gone", "into")).alias("node")) for p in rounds]).distinct().withColumn("cluster", F.col("node"))
+    for p in rounds:
+        nodes = nodes.join(p.select(F.col("gone").alias("cluster"), "into"), "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster"))
+    return checkpoint(nodes)
 
 
 def variant_classes(df: DataFrame, key: str, author: str, dates: str | None = None) -> DataFrame:
