@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.uris import bare_slug, strip_blanks
 from kinweave.llm import canonical, consistent, leakage, linkage, packing, splitting, termfreq, tokens, variants
-from kinweave.session import read
+from kinweave.session import broadcast_if_small, read
 
 
 def _related_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,7 @@ def _mapped(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "rdf_relation").select("row_id", "relType").filter(strip_blanks(F.col("relType")) != "")
     ref = read(spark, d, "reltype_ref")
     uses = rows.groupBy(F.col("relType").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    typed = rows.join(F.broadcast(ref.select(F.col("slug").alias("relType"))), "relType", "left_anti")  # the fixed list
+    typed = rows.join(broadcast_if_small(ref.select(F.col("slug").alias("relType"))), "relType", "left_anti")
     return canonical.map_values(typed, "relType", canonical.build(ref, "slug", "label", uses), "slug")
 
 
