@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from kinweave.llm import names
 from kinweave.llm.consistent import consistent
 from kinweave.session import checkpoint, python_path
 
-#: A block with more pairs than this is refined by year and identifier.
+#: A block with more pairs than this is spread over several tasks.
 MAX_BLOCK_PAIRS = 20_000
 #: Confidence from which a pair counts as a match.
 CONFIDENCE = 0.5
@@ -35,7 +36,8 @@ YEAR = ("none", "different", "one digit", "equal")
 _SHAPE = (len(TITLE), len(AUTHOR), len(IDENT) * len(YEAR))
 
 
-def title_forms(title: str | None) -> list[str]:
+@lru_cache(1 << 16)
+def title_forms(title: str | None) -> tuple[str, ...]:
     """The folded title, then what stands before its last subtitle and before a parallel title; empty for null or wordless."""
     s = names.fold(title or "").replace("&", " and ")
     out = []
@@ -43,7 +45,7 @@ def title_forms(title: str | None) -> list[str]:
         t = " ".join(re.findall(r"\w+", x))
         if t and t not in out:
             out.append(t)
-    return out
+    return tuple(out)
 
 
 def lccn(value: str | None) -> str | None:
@@ -87,6 +89,8 @@ def blocks(title: str | None, author: str | None, ident: str | None, when: str |
     return sorted(out)
 
 
+# Pairs of a common title, or of two prolific authors, come again and again.
+@lru_cache(1 << 16)
 def _level_title(a: str | None, b: str | None, common: bool) -> int:
     fa, fb = title_forms(a), title_forms(b)
     if not fa or not fb:
@@ -119,6 +123,7 @@ def _level_year(a: str | None, b: str | None) -> int:
     return 2 if sum(x != y for x, y in zip(a, b)) == 1 or abs(int(a) - int(b)) == 1 else 1
 
 
+@lru_cache(1 << 16)
 def _level_author(a: str | None, b: str | None) -> int:
     x, y = names.parse(a, None), names.parse(b, None)
     if "none" in (x.kind, y.kind):
@@ -145,26 +150,23 @@ def _prepared(df: DataFrame, title: str, author: str, ident: str, when: Column)
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, max_pairs: int = MAX_BLOCK_PAIRS) -> DataFrame:
-    """Distinct `l, r` that share a block. Blocks with more than `max_pairs` pairs are refined: their records meet only
-    when they also share the identifier, or a year up to one digit. What that leaves out agrees on neither, nor on
-    anything rarer, as every pair is in the finer passes' blocks as well.
+    """Distinct `l, r` that share a block. Blocks with more than `max_pairs` pairs are cut on both sides into parts of about
+    the root of `max_pairs` records, and every left part meets every right part, so no pair is left out.
     """
-
-    def keys(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("rec").alias(name), F.explode("blocks").alias("block"), "ident", "year")
-
-    kl, kr = keys(left, "l"), keys(right, "r")
+    kl, kr = (df.select(F.col("rec").alias(name), F.explode("blocks").alias("block")) for df, name in ((left, "l"), (right, "r")))
     nl, nr = (k.groupBy("block").agg(F.count(F.lit(1)).alias(n)) for k, n in ((kl, "nl"), (kr, "nr")))
-    hot = checkpoint(nl.join(nr, "block").filter(F.col("nl") * F.col("nr") > max_pairs).select("block"))
-
-    def refined(k: DataFrame, name: str) -> DataFrame:
-        masks = F.when(F.col("year").isNotNull(), F.transform(F.sequence(F.lit(1), F.length("year")), lambda i: F.overlay("year", F.lit("_"), i))).otherwise(F.array())
-        ident = F.when(F.col("ident").isNotNull(), F.array("ident")).otherwise(F.array())
-        return k.join(hot, "block", "left_semi").select(name, F.explode(F.concat(masks, ident)).alias("more"), "block").select(name, F.concat_ws("|", "block", "more").alias("block"))
-
-    plain = kl.join(hot, "block", "left_anti").select("l", "block").join(kr.select("r", "block"), "block")
-    fine = refined(kl, "l").join(refined(kr, "r"), "block")
-    return plain.select("l", "r").unionByName(fine.select("l", "r")).distinct()
+    side = max(1, int(max_pairs**0.5))
+    sizes = nl.join(nr, "block").filter(F.col("nl") * F.col("nr") > max_pairs)
+    hot = checkpoint(sizes.select("block", F.ceil(F.col("nl") / side).alias("parts_l"), F.ceil(F.col("nr") / side).alias("parts_r")))
+
+    def parts(k: DataFrame, own: str, other: str) -> DataFrame:
+        """Each record in its own part, once for every part of the other side."""
+        mine = F.pmod(F.xxhash64(own), F.col(f"parts_{own}")).alias(f"part_{own}")
+        return k.join(hot, "block").select(own, "block", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"parts_{other}") - 1)).alias(f"part_{other}"))
+
+    plain = kl.join(hot, "block", "left_anti").join(kr, "block")
+    spread = parts(kl, "l", "r").join(parts(kr, "r", "l"), ["block", "part_l", "part_r"])
+    return plain.select("l", "r").unionByName(spread.select("l", "r")).distinct()
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

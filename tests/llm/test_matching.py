@@ -156,6 +156,18 @@ def test_hot_blocks_lose_no_match(spark):
                 assert (a, b) in pairs
 
 
+def test_hot_blocks_lose_no_pair(spark):
+    """Records of one title without year or identifier, and years whose digits differ, meet as in a small block."""
+    years = [None, "1999", "2000", "1850"]
+    rows = [(str(k), "Poems", f"Author{k}, Jonas" if k % 3 else None, None if k % 2 else f"2090{k:06d}", years[k % 4]) for k in range(40)]
+    df = spark.createDataFrame(rows, "key string, title string, author string, ident string, year string")
+    _, n = linkage._prepared(df, "title", "author", "ident", F.col("year"))
+    recs = [r["rec"] for r in n.collect()]
+    for most in (1, 50, 10_000):
+        pairs = [(r["l"], r["r"]) for r in linkage.candidate_pairs(n, n, max_pairs=most).collect()]
+        assert sorted(pairs) == sorted((a, b) for a in recs for b in recs)
+
+
 @pytest.mark.parametrize("value, form", [("2090-1234", "2090001234"), ("  2090123456", "2090123456"), ("2090123456/r97", "2090123456"), ("2090 12", "2090000012"), ("", None), (None, None), ("２０９０123456 ", "2090123456")])
 def test_lccn(value, form):
     assert linkage.lccn(value) == form
