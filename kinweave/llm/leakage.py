@@ -1,9 +1,10 @@
 """Passages of held-out texts inside a corpus.
 
 Texts become sequences of words, and every window of item-sized length is embedded by CGK random walks, which turn an edit
-distance into a Hamming distance. Sampled positions of the embedding are hashed, several times over, and windows with an
-equal hash are candidates; each is verified by the exact edit distance of its words. Equal windows have equal walks, so for
-exact passages a single repetition finds all of them.
+distance into a Hamming distance. Sampled positions of the embedding are hashed, and what has an equal hash is a candidate;
+each is verified by the exact edit distance of its words. Equal words have equal walks, so for exact passages a single
+repetition finds all of them. With edits allowed, a window is cut into one piece more than there may be edits: one piece at
+least is free of them, so walks over the pieces find every window as well.
 
 The windows of the held-out items are small beside the corpus; within `MAX_INDEX` entries they go to every task, and the
 corpus is read in a map-only pass. A larger set is met by a shuffle join on the hashes instead.
@@ -25,9 +26,6 @@ from kinweave.session import python_path
 
 #: Words in a window.
 WINDOW = 12
-#: With edits allowed, every STRIDE-th window of a document is looked up (against all windows of the items), so passages
-#: of WINDOW + STRIDE - 1 words or more always offer one; without edits every window is.
-STRIDE = 4
 #: Largest number of hashed item windows that is broadcast (24 bytes each).
 MAX_INDEX = 2_000_000
 #: Largest number of items that is brought to the driver to be indexed there.
@@ -59,7 +57,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Embedding:
-    """CGK walks of windows of `length` words with sampled positions; `repeats` independent ones."""
+    """CGK walks of pieces of `length` words with sampled positions; `repeats` independent ones."""
 
     def __init__(self, length: int, repeats: int, samples: int, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -71,7 +69,7 @@ class Embedding:
         self.samples = [np.unique([rng.integers(a, max(a + 1, b)) for a, b in zip(edges, edges[1:])]) for _ in range(repeats)]
 
     def hashes(self, ids: np.ndarray, starts: np.ndarray, r: int) -> np.ndarray:
-        """The hash of each window in repetition `r`."""
+        """The hash of each piece in repetition `r`."""
         coins = _mix(ids ^ self.seeds[r])  # one coin per word and step
         chosen = set(self.samples[r].tolist())
         at, end = starts.copy(), starts + self.length
@@ -98,14 +96,12 @@ class Embedding:
         return out
 
 
-def starts_of(lengths: list[int], window: int, stride: int = 1) -> np.ndarray:
-    """Start positions, in the concatenated words, of all windows that lie inside one text; the last one is always there."""
+def starts_of(lengths: list[int], window: int) -> np.ndarray:
+    """Start positions, in the concatenated words, of all windows that lie inside one text."""
     parts, at = [], 0
     for n in lengths:
         if n >= window:
-            parts.append(np.arange(at, at + n - window + 1, stride))
-            if (n - window) % stride:
-                parts.append(np.array([at + n - window]))
+            parts.append(np.arange(at, at + n - window + 1))
         at += n
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
@@ -116,6 +112,8 @@ def edits(a: list[str], b: list[str], most: int) -> int:
         return 0
     if not most or abs(len(a) - len(b)) > most:
         return most + 1
+    if most == 1 and len(a) == len(b):
+        return min(sum(x != y for x, y in zip(a, b)), 2)  # one edit that keeps the length is a changed word
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -127,52 +125,67 @@ def edits(a: list[str], b: list[str], most: int) -> int:
     return min(prev[-1], most + 1)
 
 
+def offsets_of(window: int, most: int) -> list[tuple[int, list[int]]]:
+    """Where the `most` + 1 pieces of an item's window start, and where each may start in a document's window of the same
+    length: edits before a piece move it, and as many behind it must make up for that."""
+    length, by = window // (most + 1), most // 2
+    return [(p, [q for q in range(p - by, p + by + 1) if 0 <= q <= window - length]) for p in range(0, (most + 1) * length, length)]
+
+
 class Index:
-    """Hashed windows of the items, sorted by hash, with what is needed to verify a hit."""
+    """Hashed pieces of the items' windows, sorted by hash, with what is needed to verify a hit."""
 
-    def __init__(self, items: list[tuple[int, str]], embedding: Embedding):
-        self.embedding = embedding
+    def __init__(self, items: list[tuple[int, str]], embedding: Embedding, window: int, most: int):
+        self.embedding, self.window, self.most = embedding, window, most
         self.words = [(item, words(text)) for item, text in items]
         flat = [w for _, ws in self.words for w in ws]
         lengths = [len(ws) for _, ws in self.words]
-        ids, starts = _ids(flat), starts_of(lengths, embedding.length)
+        ids, starts = _ids(flat), starts_of(lengths, window)
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         owner = np.searchsorted(offsets, starts, "right") - 1
         self.tables = []
         for r in range(len(embedding.seeds)):
-            h = embedding.hashes(ids, starts, r) if len(starts) else np.empty(0, np.uint64)
-            order = np.argsort(h, kind="stable")
-            self.tables.append((h[order], owner[order], (starts - offsets[owner])[order]))
+            for piece, moved in offsets_of(window, most):
+                h = embedding.hashes(ids, starts + piece, r) if len(starts) else np.empty(0, np.uint64)
+                order = np.argsort(h, kind="stable")
+                self.tables.append((r, moved, h[order], owner[order], (starts - offsets[owner])[order]))
 
     def entries(self) -> int:
-        return sum(len(h) for h, _, _ in self.tables)
+        return sum(len(h) for _, _, h, _, _ in self.tables)
 
-    def hits(self, texts: list[list[str]], most: int, stride: int) -> Iterator[tuple[int, int, int]]:
+    def hits(self, texts: list[list[str]]) -> Iterator[tuple[int, int, int]]:
         """Verified (text number, item, edits), each pair once with the fewest edits found."""
-        window = self.embedding.length
+        window, most = self.window, self.most
         lengths = [len(t) for t in texts]
-        starts = starts_of(lengths, window, stride)
+        starts = starts_of(lengths, window)
         if not len(starts):
             return
         ids = np.concatenate([_ids(t) for t in texts])
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        pieces = starts_of(lengths, self.embedding.length)
         best: dict[tuple[int, int], int] = {}
-        for r, (keys, owner, place) in enumerate(self.tables):
-            for lo in range(0, len(starts), _SLICE):
-                part = starts[lo : lo + _SLICE]
-                h = self.embedding.hashes(ids, part, r)
-                left = np.searchsorted(keys, h, "left")
-                hit = np.flatnonzero((left < len(keys)) & (keys[np.minimum(left, len(keys) - 1)] == h)) if len(keys) else []
-                for k in hit:
-                    doc = int(np.searchsorted(offsets, part[k], "right") - 1)
-                    at = int(part[k] - offsets[doc])
-                    for e in range(int(left[k]), int(np.searchsorted(keys, h[k], "right"))):
-                        item = int(owner[e])
-                        known = best.get((doc, item), most + 1)
-                        if known:
-                            d = edits(self.words[item][1][place[e] : place[e] + window], texts[doc][at : at + window], known - 1)
-                            if d < known:
-                                best[doc, item] = d
+        for r in range(len(self.embedding.seeds)):
+            walked = np.zeros(len(ids), np.uint64)
+            for lo in range(0, len(pieces), _SLICE):
+                part = pieces[lo : lo + _SLICE]
+                walked[part] = self.embedding.hashes(ids, part, r)
+            for at_r, moved, keys, owner, place in self.tables:
+                if at_r != r or not len(keys):
+                    continue
+                looked = np.searchsorted(keys, walked, "left")
+                known_hash = keys[np.minimum(looked, len(keys) - 1)] == walked
+                for q in moved:
+                    for s in starts[known_hash[starts + q]]:
+                        doc = int(np.searchsorted(offsets, s, "right") - 1)
+                        at = int(s - offsets[doc])
+                        first = int(looked[s + q])
+                        for e in range(first, int(np.searchsorted(keys, walked[s + q], "right"))):
+                            item = int(owner[e])
+                            known = best.get((doc, item), most + 1)
+                            if known:
+                                d = edits(self.words[item][1][place[e] : place[e] + window], texts[doc][at : at + window], known - 1)
+                                if d < known:
+                                    best[doc, item] = d
         for (doc, item), d in best.items():
             yield doc, self.words[item][0], d
 
@@ -183,50 +196,53 @@ _FOUND = "item long, doc long, edits int"
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = WINDOW, max_edits: int = 0, repeats: int | None = None, samples: int | None = None) -> DataFrame:
     """`item, doc, edits`: every item and document that hold windows of `window` words at most `max_edits` edits apart.
 
-    With `max_edits` = 0 the listing is complete. Otherwise its recall depends on `repeats` and `samples`, whose defaults are
-    measured in the tests. Null and short texts hold no window; repeated rows collapse; texts of any length are read whole.
+    The listing is complete, as every window has a piece without edits; `repeats` and `samples` shape the walks over the
+    pieces and change its cost only. Null and short texts hold no window; repeated rows collapse; texts of any length are read
+    whole.
     """
     python_path(docs.sparkSession)
-    repeats = repeats or (1 if not max_edits else 8 * max_edits)
-    samples = samples or (window if not max_edits else max(4, window // 2))
-    stride = STRIDE if max_edits else 1
-    embedding = Embedding(window, repeats, samples)
+    if not 0 <= max_edits < window:
+        raise ValueError("max_edits must be from 0 to one less than the window")
+    piece = window // (max_edits + 1)
+    embedding = Embedding(piece, repeats or 1, samples or piece)
     held = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null").distinct()
     corpus = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null and text is not null")
     rows = held.limit(MAX_ITEMS + 1).collect()
     if len(rows) <= MAX_ITEMS:
-        index = Index([(r["item"], r["text"]) for r in rows], embedding)
+        index = Index([(r["item"], r["text"]) for r in rows], embedding, window, max_edits)
         if index.entries() <= MAX_INDEX:
             shared = docs.sparkSession.sparkContext.broadcast(index)
 
             def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for pdf in batches:
                     ids = pdf["doc"].tolist()
-                    out = [(item, ids[k], d) for k, item, d in shared.value.hits([words(t) for t in pdf["text"]], max_edits, stride)]
+                    out = [(item, ids[k], d) for k, item, d in shared.value.hits([words(t) for t in pdf["text"]])]
                     yield pd.DataFrame(out, columns=["item", "doc", "edits"])
 
             found = corpus.mapInPandas(scan, _FOUND)
             return found.groupBy("item", "doc").agg(F.min("edits").alias("edits"))
-    return _joined(corpus, held, embedding, max_edits, stride)
+    return _joined(corpus, held, embedding, window, max_edits)
 
 
-def _joined(corpus: DataFrame, held: DataFrame, embedding: Embedding, max_edits: int, stride: int) -> DataFrame:
+def _joined(corpus: DataFrame, held: DataFrame, embedding: Embedding, window: int, max_edits: int) -> DataFrame:
     """The same by a shuffle join on the hashes, for a set of items too large to broadcast."""
-    window = embedding.length
+    places = [(k, q) for k, (piece, moved) in enumerate(offsets_of(window, max_edits)) for q in moved]
+    own = [(k, piece) for k, (piece, _) in enumerate(offsets_of(window, max_edits))]
 
     def windows(name: str):
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for key, text in zip(pdf[name], pdf["text"]):
                     ws = words(text)
-                    starts = starts_of([len(ws)], window, stride if name == "doc" else 1)
+                    starts = starts_of([len(ws)], window)
                     ids = _ids(ws)
                     for lo in range(0, len(starts), 10_000):
                         part = starts[lo : lo + 10_000]
                         passages = [" ".join(ws[s : s + window]) for s in part]
                         for r in range(len(embedding.seeds)):
-                            h = embedding.hashes(ids, part, r).view(np.int64)
-                            yield pd.DataFrame({name: key, "bucket": h, "r": r, f"{name}_words": passages})
+                            for k, q in places if name == "doc" else own:
+                                h = embedding.hashes(ids, part + q, r).view(np.int64)
+                                yield pd.DataFrame({name: key, "bucket": h, "r": r, "piece": k, f"{name}_words": passages})
 
         return cut
 
@@ -235,7 +251,7 @@ def _joined(corpus: DataFrame, held: DataFrame, embedding: Embedding, max_edits:
             d = [edits(a.split(), b.split(), max_edits) for a, b in zip(pdf["item_words"], pdf["doc_words"])]
             yield pd.DataFrame({"item": pdf["item"], "doc": pdf["doc"], "edits": d})[lambda x: x["edits"] <= max_edits]
 
-    left = held.mapInPandas(windows("item"), "item long, bucket long, r int, item_words string").distinct()
-    right = corpus.mapInPandas(windows("doc"), "doc long, bucket long, r int, doc_words string").distinct()
-    met = left.join(right, ["bucket", "r"]).select("item", "doc", "item_words", "doc_words").distinct()
+    left = held.mapInPandas(windows("item"), "item long, bucket long, r int, piece int, item_words string").distinct()
+    right = corpus.mapInPandas(windows("doc"), "doc long, bucket long, r int, piece int, doc_words string").distinct()
+    met = left.join(right, ["bucket", "r", "piece"]).select("item", "doc", "item_words", "doc_words").distinct()
     return met.mapInPandas(verify, _FOUND).groupBy("item", "doc").agg(F.min("edits").alias("edits"))

@@ -229,6 +229,26 @@ def test_near_passages_reach_the_recall(spark):
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 20
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_short_near_passages_are_all_found(spark, monkeypatch, most):
+    """Passages of 12 to 14 words, some with edits, hold few windows; none is missed on either path."""
+    rng = random.Random(most)
+    items = [(k, " ".join(rng.choices(WORDS, k=40))) for k in range(4)]
+    docs = []
+    for k in range(60):
+        ws = items[k % 4][1].split()
+        at, n = rng.randrange(26), 12 + k % 3
+        copied = ws[at : at + n]
+        for _ in range(k % (most + 1)):
+            x = rng.randrange(len(copied))
+            copied[x : x + 1] = rng.choice([["other"], [], [copied[x], "added"]])
+        docs.append((k, " ".join(rng.choices(WORDS, k=k % 7) + copied + rng.choices(WORDS, k=9))))
+    want = brute_leaks(items, docs, 12, most)
+    assert len(want) > 20 and leaks(spark, items, docs, max_edits=most) == want
+    monkeypatch.setattr(leakage, "MAX_INDEX", 10)
+    assert leaks(spark, items, docs, max_edits=most) == want
+
+
 def test_equal_windows_have_equal_walks():
     e = leakage.Embedding(12, 3, 6)
     a = leakage._ids(WORDS[:12])
