@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -91,8 +92,8 @@ def _deletions(s: str, most: int) -> Iterator[str]:
 class Dictionary:
     """A symmetric-delete dictionary over `(key, label, uses)`."""
 
-    #: More deletions than this are not worth their room: with d on either side, distances up to 2 d are still found
-    #: whenever the operations inside the prefix are at most d, and lookups fall back to d on both sides.
+    #: More deletions than this are not worth their room. They find every entry within so many operations; where more are
+    #: allowed, the entries of a similar length are compared one by one.
     DELETIONS = 2
 
     def __init__(self, entries: list[tuple[str, str, int]]):
@@ -102,6 +103,7 @@ class Dictionary:
         self.uses: dict[str, int] = {}
         self.names: dict[str, str] = {}
         self.index: dict[str, set[str]] = {}
+        self.long: dict[int, list[tuple[str, Counter[str]]]] = {}
         self.phrases: dict[int, list[tuple[list[str], str]]] = {}
         for key, label, uses in sorted(entries, key=lambda e: (-e[2], e[0])):
             self.uses.setdefault(key, uses)
@@ -115,6 +117,8 @@ class Dictionary:
                     self.names[folded] = key
                     for d in _deletions(folded, self.DELETIONS):
                         self.index.setdefault(d, set()).add(folded)
+                    if allowed(len(folded)) > self.DELETIONS:
+                        self.long.setdefault(len(folded), []).append((folded, Counter(folded)))
         self.lookup = lru_cache(1 << 16)(self._lookup)
 
     def __getstate__(self):
@@ -129,6 +133,11 @@ class Dictionary:
         found: set[str] = set()
         for d in _deletions(folded, self.DELETIONS):
             found |= self.index.get(d, set())
+        if (most := allowed(len(folded))) > self.DELETIONS:
+            letters = Counter(folded)
+            for n in range(len(folded) - most, len(folded) + most + 1):
+                # An operation changes two letters of the one or the other name at most.
+                found |= {name for name, own in self.long.get(n, ()) if (letters - own).total() + (own - letters).total() <= 2 * most}
         best = None
         for name in found:
             most = min(allowed(len(folded)), allowed(len(name)))

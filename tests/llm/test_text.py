@@ -69,6 +69,23 @@ def test_lookup(value, key):
     assert canonical.Dictionary(REF).lookup(value) == (key or canonical.UNMATCHED)
 
 
+def test_long_entries_are_found_at_every_distance_allowed():
+    """Three or four operations on long entries, all near their beginning, against distances to all entries."""
+    rng = np.random.default_rng(4)
+    entries = [("containerof", "containerof", 5), ("adaptedasmotionpicture", "adaptedasmotionpicture", 3), ("operaadaptationof", "operaadaptationof", 9), ("continuedby", "continuedby", 1)]
+    d = canonical.Dictionary(entries)
+    n_found = 0
+    for _ in range(300):
+        s = list(entries[rng.integers(len(entries))][0])
+        for k in rng.permutation(11)[: rng.integers(3, 5)]:
+            s[k] = "q" if rng.integers(2) else s[k] + "q"
+        typed = "".join(s)
+        near = [(got[1], -uses, k) for k, _, uses in entries if (got := canonical.distance(typed, k, min(canonical.allowed(len(typed)), canonical.allowed(len(k)))))]
+        assert d.near(typed) == min(near, default=None)
+        n_found += bool(near)
+    assert n_found > 100
+
+
 def test_lookup_finds_what_brute_force_finds():
     """Every value within two operations of an entry is found, against distances to all entries."""
     rng = np.random.default_rng(3)
