@@ -126,40 +126,40 @@ def pack(sizes: list[int], capacity: int = CAPACITY, groups: int = GROUPS) -> li
     return place
 
 
-_SIZES = "doc long, size long"
+_SIZES = "doc long, size long, form long"
 
 
 def sizes(docs: DataFrame, doc_id: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """`doc, size`: the tokens of every text; null texts count as empty."""
+    """`doc, size, form`: the tokens and the hash of every text; null texts count as empty."""
     python_path(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
         for batch in batches:
             n = [tok.count(t) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)], names=["doc", "size", "form"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(count, _SIZES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("form")).mapInArrow(count, _SIZES)
 
 
 def containers(docs: DataFrame, doc_id: str, text: str, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """`container, doc, part, first_token, tokens`: where every token of every text goes.
 
     Only texts above the capacity are split: into full containers of their own and a rest that is placed like any other text.
-    Null and empty texts need no place and have no row. Repeated rows of a text are placed once. Ties are broken by the order
-    of (doc, part), so the result is the same each run.
+    Null and empty texts need no place and have no row. Repeated rows of a text are placed once; other
+    texts of the same or no id have their own places. Ties are broken by the order of (doc, part, tokens, hash), so the result is the same each run.
     """
     n = docs.count()  # of the footers only, for a table of files
     shards = max(1, ceil(n / shard))
-    sized = checkpoint(sizes(docs, doc_id, text, vocabulary).filter("size > 0").distinct())  # two integers a text; tokenized once
+    sized = checkpoint(sizes(docs, doc_id, text, vocabulary).filter("size > 0").distinct())  # three integers a text; tokenized once
     full, rest = F.floor(F.col("size") / capacity).cast("long"), F.col("size") % capacity
     cap = F.lit(capacity).cast("long")
-    whole = sized.filter(F.col("size") >= capacity).select("doc", "size", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("part"))
-    whole = whole.select(F.concat_ws("-", F.lit("full"), "doc", "size", "part").alias("container"), "doc", "part", (F.col("part") * cap).alias("first_token"), cap.alias("tokens"))
-    items = sized.filter(rest > 0).select("doc", full.alias("part"), (full * cap).alias("first_token"), rest.alias("tokens"), F.pmod(F.xxhash64("doc", "size"), F.lit(shards)).alias("shard"))
+    whole = sized.filter(F.col("size") >= capacity).select("doc", "size", "form", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("part"))
+    whole = whole.select(F.concat_ws("-", F.lit("full"), "doc", "size", "form", "part").alias("container"), "doc", "part", (F.col("part") * cap).alias("first_token"), cap.alias("tokens"))
+    items = sized.filter(rest > 0).select("doc", full.alias("part"), (full * cap).alias("first_token"), rest.alias("tokens"), "form", F.pmod(F.xxhash64("doc", "size"), F.lit(shards)).alias("shard"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "part", "tokens"], kind="stable")
+        pdf = pdf.sort_values(["doc", "part", "tokens", "form"], kind="stable")
         names = [f"{s}-{c}" for s, c in zip(pdf["shard"], pack(pdf["tokens"].tolist(), capacity))]
         return pd.DataFrame({"container": names, "doc": pdf["doc"], "part": pdf["part"], "first_token": pdf["first_token"], "tokens": pdf["tokens"]})
 

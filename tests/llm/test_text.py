@@ -235,6 +235,20 @@ def test_containers(spark):
     assert packing.containers(df.limit(0), "doc_id", "text").count() == 0
 
 
+@needs_vocabulary
+def test_texts_without_their_own_id_have_places(spark):
+    long = "long text " * 4000
+    rows = [(None, "red apple"), (None, "blue apple"), (5, "red apple"), (5, "blue apple"), (5, "blue apple"), (6, long), (6, long.replace("long", "other"))]
+    tok = tokens.tokenizer(tokens.VOCABULARY)
+    assert tok.count("red apple") == tok.count("blue apple") and tok.count(rows[5][1]) == tok.count(rows[6][1])
+    c = packing.containers(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sum(r["tokens"] for r in c) == sum(tok.count(t) for _, t in set(rows))
+    load = {}
+    for r in c:
+        load[r["container"]] = load.get(r["container"], 0) + r["tokens"]
+    assert max(load.values()) <= packing.CAPACITY
+
+
 @needs_vocabulary
 def test_token_ends_match_the_encoding():
     tok = tokens.tokenizer(tokens.VOCABULARY)
