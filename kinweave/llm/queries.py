@@ -87,18 +87,15 @@ def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _linked(spark, d).withColumn("confidence", F.round("confidence", 6))
 
 
-def _leaks(spark: SparkSession, d: str, **how) -> DataFrame:
-    return leakage.leaks(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_item"), "item_id", "text", **how)
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluation item and document that share 12 consecutive words, of which one may be changed."""
+    found = leakage.leaks(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_item"), "item_id", "text", max_edits=1)
+    return found.select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), "edits")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every evaluation item and document that share at least 12 consecutive words."""
-    return _leaks(spark, d).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
-
-
-def p9_near(spark: SparkSession, d: str) -> DataFrame:
-    """The same, with up to one word of 12 changed, added or left out."""
-    return _leaks(spark, d, max_edits=1).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), "edits")
+    """Those whose passages are equal word for word, which that listing never misses."""
+    return p9_near(spark, d).filter("edits = 0").select("item_id", "doc_id")
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
