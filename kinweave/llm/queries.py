@@ -29,7 +29,7 @@ def _mapped(spark: SparkSession, d: str) -> DataFrame:
     ref = read(spark, d, "reltype_ref")
     uses = rows.groupBy(F.col("relType").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     typed = rows.join(broadcast_if_small(ref.select(F.col("slug").alias("relType"))), "relType", "left_anti")
-    return canonical.map_values(typed, "relType", canonical.build(ref, "slug", "label", uses), "slug")
+    return canonical.map_values(typed, "relType", canonical.references(ref, "slug", "label", uses), "slug")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -69,44 +69,38 @@ def test_lookup(value, key):
     assert canonical.Dictionary(REF).lookup(value) == (key or canonical.UNMATCHED)
 
 
-def test_long_entries_are_found_at_every_distance_allowed():
-    """Three or four operations on long entries, all near their beginning, against distances to all entries."""
-    rng = np.random.default_rng(4)
-    entries = [("containerof", "containerof", 5), ("adaptedasmotionpicture", "adaptedasmotionpicture", 3), ("operaadaptationof", "operaadaptationof", 9), ("continuedby", "continuedby", 1)]
-    d = canonical.Dictionary(entries)
+def exhaustive(entries, typed):
+    """The best entry by distances to all of them."""
+    near = [(got[1], -uses, k) for k, _, uses in entries if (got := canonical.distance(typed, k, min(canonical.allowed(len(typed)), canonical.allowed(len(k)))))]
+    return min(near, default=None)
+
+
+@pytest.mark.parametrize("operations", [1, 2, 3, 4])
+def test_lookup_finds_what_brute_force_finds(operations):
+    """Random deletions, insertions, substitutions and transpositions anywhere, also all near the beginning."""
+    rng = np.random.default_rng(operations)
+    entries = [*REF, ("containerof", "containerof", 5), ("adaptedasmotionpicture", "adaptedasmotionpicture", 3), ("operaadaptationof", "operaadaptationof", 9)]
+    d = canonical.Dictionary([(k, k, n) for k, _, n in entries])
     n_found = 0
-    for _ in range(300):
+    for trial in range(400):
         s = list(entries[rng.integers(len(entries))][0])
-        for k in rng.permutation(11)[: rng.integers(3, 5)]:
-            s[k] = "q" if rng.integers(2) else s[k] + "q"
-        typed = "".join(s)
-        near = [(got[1], -uses, k) for k, _, uses in entries if (got := canonical.distance(typed, k, min(canonical.allowed(len(typed)), canonical.allowed(len(k)))))]
-        assert d.near(typed) == min(near, default=None)
-        n_found += bool(near)
-    assert n_found > 100
-
-
-def test_lookup_finds_what_brute_force_finds():
-    """Every value within two operations of an entry is found, against distances to all entries."""
-    rng = np.random.default_rng(3)
-    d = canonical.Dictionary(REF)
-    for _ in range(300):
-        key = REF[rng.integers(len(REF))][0]
-        s = list(key)
-        for _ in range(2):
-            k = int(rng.integers(1, len(s)))
-            what = rng.integers(3)
+        for _ in range(operations):
+            k = int(rng.integers(1, min(6, len(s)) if trial % 2 else len(s)))
+            what = rng.integers(4)
             if what == 0:
                 del s[k]
             elif what == 1:
                 s.insert(k, "q")
+            elif what == 2:
+                s[k] = "q"
             else:
                 s[k - 1], s[k] = s[k], s[k - 1]
         typed = "".join(s)
-        near = [(got[1], -uses, k) for k, _, uses in REF if (got := canonical.distance(typed, k, min(canonical.allowed(len(typed)), canonical.allowed(len(k)))))]
-        want = min(near)[2] if near else None
-        if want:
-            assert d.near(typed) is not None and d.near(typed)[2] == want, typed
+        if typed in d.exact:
+            continue
+        assert d.near(typed) == exhaustive(entries, typed), typed
+        n_found += d.near(typed) is not None
+    assert n_found > 100
 
 
 def test_weights():
@@ -115,16 +109,42 @@ def test_weights():
     assert canonical.distance("abc", "xyz", 1) is None
 
 
-def test_mapped_column(spark):
-    ref = spark.createDataFrame([(k, label) for k, label, _ in REF] + [REF[0][:2], (None, "x")], "slug string, label string")
-    uses = spark.createDataFrame([("basedon", 5), ("zzz", 9)], "key string, n long")
-    d = canonical.build(ref, "slug", "label", uses)
+@pytest.mark.parametrize("most", [canonical.MAX_REFERENCE, 0])
+def test_mapped_column(spark, monkeypatch, most):
+    """By broadcast, and by the shuffle join that a large list takes."""
+    monkeypatch.setattr(canonical, "MAX_REFERENCE", most)
+    base = spark.createDataFrame([(k, label) for k, label, _ in REF] + [REF[0][:2], (None, "x")], "slug string, label string")
+    ref = canonical.references(base, "slug", "label", spark.createDataFrame([("basedon", 5), ("zzz", 9)], "key string, n long"))
     df = spark.createDataFrame([(1, "Based on"), (2, None), (3, " "), (4, "junk"), (5, "Based on")], "n int, v string").withColumn("slug", F.lit("clash"))
-    got = {r["n"]: r["key"] for r in canonical.map_values(df, "v", d, "key").collect()}
+    got = {r["n"]: r["key"] for r in canonical.map_values(df, "v", ref, "key").collect()}
     assert got == {1: "basedon", 2: None, 3: None, 4: canonical.UNMATCHED, 5: "basedon"}
-    assert canonical.map_values(df.limit(0), "v", d, "key").count() == 0
-    empty = canonical.build(ref.limit(0), "slug", "label")
-    assert {r["key"] for r in canonical.map_values(df, "v", empty, "key").collect()} == {None, canonical.UNMATCHED}
+    assert canonical.map_values(df.limit(0), "v", ref, "key").count() == 0
+    assert {r["key"] for r in canonical.map_values(df, "v", ref.limit(0), "key").collect()} == {None, canonical.UNMATCHED}
+
+
+def test_both_paths_agree(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    typed = ["transl. as", "transl of", "tr. as", "cont. by", "c. by", "ed.", "ba. on", "Adaptation of, radio", "see: basd on", "X" * 3000]
+    for k, label, _ in REF * 8:
+        s = list(label)
+        for at in rng.integers(1, len(s) - 1, 3):
+            s[at] = rng.choice(list("aeqz "))
+        typed.append("".join(s))
+    df = spark.createDataFrame([(v,) for v in typed], "v string")
+    ref = spark.createDataFrame(REF, "key string, label string, n long")
+    one = canonical.map_values(df, "v", ref, "key").collect()
+    monkeypatch.setattr(canonical, "MAX_REFERENCE", 0)
+    assert sorted(one) == sorted(canonical.map_values(df, "v", ref, "key").collect())
+    assert 10 < sum(r["key"] != canonical.UNMATCHED for r in one) < len(typed)
+
+
+def test_a_list_of_many_entries(spark):
+    """Far more entries than are broadcast."""
+    many = spark.range(210_000).select(F.concat(F.lit("k"), F.lpad(F.conv("id", 10, 26), 6, "0")).alias("key")).withColumns({"label": F.col("key"), "n": F.lit(0).cast("long")})
+    df = spark.createDataFrame([("entry",), ("K00 0abc",)], "v string")
+    ref = many.unionByName(spark.createDataFrame([("translationof", "Translation of", 3)], "key string, label string, n long"))
+    got = {r["v"]: r["key"] for r in canonical.map_values(df.unionByName(spark.createDataFrame([("tarnslatonof",)], "v string")), "v", ref, "key").collect()}
+    assert got == {"entry": canonical.UNMATCHED, "K00 0abc": "k000ABC", "tarnslatonof": "translationof"}
 
 
 # Names
