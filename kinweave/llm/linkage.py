@@ -14,38 +14,43 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm import names
 from kinweave.llm.consistent import consistent
+from kinweave.llm.meeting import MAX_PAIRS, meet
 from kinweave.session import checkpoint, python_path
 
-#: A block with more pairs than this is spread over several tasks.
-MAX_BLOCK_PAIRS = 20_000
 #: Confidence from which a pair counts as a match.
 CONFIDENCE = 0.5
-#: A title is common when more than this share of the left records bear it.
-COMMON_TITLE = 0.001
+#: A title is common when more than this share of the left records bear it, beside the few deliveries and editions of one work.
+COMMON_TITLE, OF_ONE_WORK = 0.001, 7
+#: Shortest title words that are blocking keys beside an author or a year.
+KEY_WORD = 4
 
 # Agreement levels. 0 is always "not known on either side".
 TITLE = ("none", "different", "numbers differ", "near", "equal, common", "equal, rare")
-AUTHOR = ("none", "different", "compatible", "same")
+AUTHOR = ("none", "different", "same family name", "compatible", "same")
 IDENT = ("none", "different", "one edit", "equal")
 YEAR = ("none", "different", "one digit", "equal")
+#: Identifier and year are one attribute, as they are not independent.
 _SHAPE = (len(TITLE), len(AUTHOR), len(IDENT) * len(YEAR))
 
 
 @lru_cache(1 << 16)
 def title_forms(title: str | None) -> tuple[str, ...]:
-    """The folded title, then what stands before its last subtitle and before a parallel title; empty for null or wordless."""
+    """The folded title, then what stands before its last subtitle and before a parallel title, and without a short first
+    word, which may be an article; empty for null or wordless."""
     s = names.fold(title or "").replace("&", " and ")
     out = []
     for x in (s, re.sub(r"\s*:[^:]*$", "", s), s.split(" = ")[0], s.split(" : ")[0]):
         t = " ".join(re.findall(r"\w+", x))
         if t and t not in out:
             out.append(t)
-    return tuple(out)
+    words = out[0].split() if out else []
+    return (*out, " ".join(words[1:])) if len(words) > 3 and len(words[0]) < 5 else tuple(out)
 
 
 def lccn(value: str | None) -> str | None:
@@ -66,27 +71,23 @@ def _masks(y: str) -> list[str]:
     return [y[:i] + "_" + y[i + 1 :] for i in range(len(y))]
 
 
-def _longest(words: list[str], n: int) -> list[str]:
-    return sorted(set(words), key=lambda w: (-len(w), w))[:n]
-
-
-def blocks(title: str | None, author: str | None, ident: str | None, when: str | None) -> list[str]:
-    """The blocking keys of one record, all passes together."""
+def blocks(title: str | None, author: str | None, ident: str | None, when: str | None) -> list[int]:
+    """The hashed blocking keys of one record, all passes together. Equal hashes of different keys only add pairs."""
     out = {f"L|{ident}"} if ident else set()
-    name = names.parse(author, None)
-    family = _longest([*name.family, "".join(name.family)], 3)
-    for t in title_forms(title):
+    family = {w for n in names.readings(author, None) for w in (*n.family, "".join(n.family)) if w}
+    forms = title_forms(title)
+    for t in forms:
         out.add(f"T|{t}")
-        out |= {f"TA|{t}|{w}" for w in family}
         out |= {f"TY|{t}|{m}" for m in (_masks(when) if when else ())}
-    if forms := title_forms(title):
-        best = _longest(min(forms, key=len).split(), 3)
-        out |= {f"AW|{f}|{w}" for f in family for w in best}
-        if when and len(best) > 1:
-            out |= {f"YW|{when}|{'|'.join(sorted((a, b)))}" for i, a in enumerate(best) for b in best[i + 1 :]}
+    words = sorted({w for w in forms[0].split() if len(w) >= KEY_WORD}) if forms else []
+    out |= {f"AW|{f}|{w}" for f in family for w in words}
+    if len(words) < 2:  # of a short title a typing error may leave no word, so what remains after any one deletion
+        out |= {f"AD|{f}|{t[:i]}{t[i + 1 :]}" for f in family for t in forms for i in range(len(t) + 1)}
+    if when:
+        out |= {f"YW|{when}|{a}|{b}" for i, a in enumerate(words) for b in words[i + 1 :]}
     if ident and len(ident) == 10:
         out |= {f"A|{f}|{m}" for f in family for m in (ident[:5], ident[5:])}
-    return sorted(out)
+    return [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in out]
 
 
 # Pairs of a common title, or of two prolific authors, come again and again.
@@ -125,11 +126,14 @@ def _level_year(a: str | None, b: str | None) -> int:
 
 @lru_cache(1 << 16)
 def _level_author(a: str | None, b: str | None) -> int:
-    x, y = names.parse(a, None), names.parse(b, None)
-    if "none" in (x.kind, y.kind):
+    x, y = names.readings(a, None), names.readings(b, None)
+    if "none" in (x[0].kind, y[0].kind):
         return 0
-    s = names.agreement(x, y)
-    return 3 if s >= 0.75 else 2 if s > 0 else 1
+    if (s := names.best_agreement(x, y)) > 0:
+        return 4 if s >= 0.75 else 3
+    if len(x) > 1 and len(y) > 1:  # of two names in the same order the last words are the family names
+        x, y = x[:1], y[:1]
+    return 2 if any(p.kind == q.kind == "person" and names.family_agreement(p, q) for p in x for q in y) else 1
 
 
 def _normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,28 +149,14 @@ def _prepared(df: DataFrame, title: str, author: str, ident: str, when: Column)
     """Distinct attribute rows as they are stored, and with their normal forms and blocking keys; copies of a record are one row."""
     rows = df.select(F.col(title).alias("title"), F.col(author).alias("author"), F.col(ident).alias("ident"), when.cast("string").alias("year"))
     rows = checkpoint(rows.distinct().withColumn("rec", F.monotonically_increasing_id()))
-    normal = rows.mapInPandas(_normal, "rec long, title string, author string, ident string, year string, head string, blocks array<string>")
+    normal = rows.mapInPandas(_normal, "rec long, title string, author string, ident string, year string, head string, blocks array<long>")
     return rows.select("rec", *[F.col(c).alias(f"raw_{c}") for c in ("title", "author", "ident", "year")]), checkpoint(normal)
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, max_pairs: int = MAX_BLOCK_PAIRS) -> DataFrame:
-    """Distinct `l, r` that share a block. Blocks with more than `max_pairs` pairs are cut on both sides into parts of about
-    the root of `max_pairs` records, and every left part meets every right part, so no pair is left out.
-    """
-    kl, kr = (df.select(F.col("rec").alias(name), F.explode("blocks").alias("block")) for df, name in ((left, "l"), (right, "r")))
-    nl, nr = (k.groupBy("block").agg(F.count(F.lit(1)).alias(n)) for k, n in ((kl, "nl"), (kr, "nr")))
-    side = max(1, int(max_pairs**0.5))
-    sizes = nl.join(nr, "block").filter(F.col("nl") * F.col("nr") > max_pairs)
-    hot = checkpoint(sizes.select("block", F.ceil(F.col("nl") / side).alias("parts_l"), F.ceil(F.col("nr") / side).alias("parts_r")))
-
-    def parts(k: DataFrame, own: str, other: str) -> DataFrame:
-        """Each record in its own part, once for every part of the other side."""
-        mine = F.pmod(F.xxhash64(own), F.col(f"parts_{own}")).alias(f"part_{own}")
-        return k.join(hot, "block").select(own, "block", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"parts_{other}") - 1)).alias(f"part_{other}"))
-
-    plain = kl.join(hot, "block", "left_anti").join(kr, "block")
-    spread = parts(kl, "l", "r").join(parts(kr, "r", "l"), ["block", "part_l", "part_r"])
-    return plain.select("l", "r").unionByName(spread.select("l", "r")).distinct()
+def candidate_pairs(left: DataFrame, right: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
+    """Distinct `l, r` that share a block. Hot blocks are spread over tasks and met in whole, so no pair is left out."""
+    kl, kr = (df.select(F.col("rec").alias(name), F.explode("blocks").alias("key")) for df, name in ((left, "l"), (right, "r")))
+    return meet(kl, kr, max_pairs).distinct()
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,44 +168,90 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"l": p["l"], "r": p["r"], "t": t, "a": a, "iy": [len(YEAR) * x + z for x, z in zip(i, y)]})
 
 
-def expectation_maximisation(counts: dict[tuple[int, int, int], int], rounds: int = 200) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
+#: Levels that cannot occur between records of one publication by the definition of one: (attribute, level).
+Impossible = frozenset[tuple[int, int]]
+#: Other numbers in the title are another volume; another identifier with another or unknown year is another edition.
+PUBLICATION: Impossible = frozenset({(0, TITLE.index("numbers differ"))} | {(2, len(YEAR) * IDENT.index("different") + y) for y in range(len(YEAR)) if YEAR[y] != "equal"})
+
+
+def _start() -> list[np.ndarray]:
+    """Where the probabilities of levels among matches start from."""
+    iy = np.full(_SHAPE[2], 1e-3)
+    for i, y, p in ((3, 3, 0.4), (0, 3, 0.25), (3, 0, 0.1), (0, 0, 0.08), (3, 2, 0.05), (0, 2, 0.04), (2, 3, 0.04), (2, 0, 0.02), (2, 2, 0.005), (3, 1, 0.005), (1, 3, 0.005)):
+        iy[len(YEAR) * i + y] = p
+    return [np.array([0.02, 0.005, 0.01, 0.15, 0.12, 0.7]), np.array([0.05, 0.02, 0.05, 0.2, 0.68]), iy]
+
+
+def apart(left: DataFrame, right: DataFrame, n_met: int) -> dict[tuple[int, int, int], float]:
+    """Level patterns of all the pairs that share no block, which are no matches, from how often values are null and years occur.
+
+    With them the probabilities among non-matches are those of any two records, and not of the few that blocking selects,
+    among which attributes depend on each other. Nothing is collected but a row per year.
+    """
+
+    def side(df: DataFrame) -> tuple[int, list[float], dict[str, int]]:
+        r = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in ("head", "author", "ident")]).first()
+        years = {x["year"]: x["n"] for x in df.filter("year is not null").groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return r["n"], [r[c] / max(r["n"], 1) for c in ("head", "author", "ident")], years
+
+    def masked(df: DataFrame, n: str) -> DataFrame:
+        each = F.explode(F.transform(F.sequence(F.lit(0), F.length("ident")), lambda i: F.when(i == 0, F.col("ident")).otherwise(F.overlay("ident", F.lit("_"), i))))
+        return df.filter("ident <> ''").select(each.alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).cast("double").alias(n))
+
+    (nl, kl, yl), (nr, kr, yr) = side(left), side(right)
+    # Pairs of identifiers that differ in one place share one mask, and equal ones share all.
+    same = masked(left, "a").join(masked(right, "b"), "mask").select((F.col("a") * F.col("b")).alias("n"), F.contains("mask", F.lit("_")).alias("open"), (F.length("mask")).alias("k"))
+    near = same.agg(F.sum(F.when(F.col("open"), F.col("n")).otherwise(-F.col("k") * F.col("n")))).first()[0] or 0.0
+    rest = max(float(nl) * nr - n_met, 0.0)
+    if not rest:
+        return {}
+    when = np.zeros(len(YEAR))
+    b, nb = np.array([int(y) for y in yr], int), np.array(list(yr.values()), float)
+    for y, n in yl.items():
+        level = np.where(b == int(y), 3, np.where((sum((b // 10**k % 10 != int(y) // 10**k % 10).astype(int) for k in range(4)) == 1) | (abs(b - int(y)) == 1), 2, 1))
+        when += np.bincount(level, weights=n * nb, minlength=len(YEAR)) / (nl * nr)
+    when[0] = 1 - when.sum()
+    known = [x * y for x, y in zip(kl, kr)]
+    one_edit = min(max(near / (nl * nr), 0.0), known[2])
+    out = {}
+    for t in (0, 1):
+        for a in (0, 1):
+            for i, share in enumerate((1 - known[2], known[2] - one_edit, one_edit)):
+                for y in range(len(YEAR)):
+                    out[t, a, len(YEAR) * i + y] = rest * float(share * when[y] * np.prod([k if level else 1 - k for level, k in zip((t, a), known)]))
+    return out
+
+
+def expectation_maximisation(counts: dict[tuple[int, int, int], float], impossible: Impossible = PUBLICATION, rounds: int = 200) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
     """Share of matches, and per attribute the probabilities of its levels among matches and among non-matches.
 
-    Identifier and year are one attribute, as they are not independent. Two kinds of pairs are no match by definition and
-    keep a probability near 0 among matches: other numbers in the title (another volume), and another identifier with
-    another or unknown year (another edition).
+    The levels named `impossible` have probability 0 among matches throughout.
     """
     pats = np.array(sorted(counts))
     n = np.array([counts[tuple(p)] for p in pats], float)
-    never_iy = [len(YEAR) * 1 + y for y in range(len(YEAR)) if y != 3]
-    never = (pats[:, 0] == 2) | np.isin(pats[:, 2], never_iy)
-    m = [np.array([0.02, 0.01, 1e-9, 0.15, 0.12, 0.7]), np.array([0.05, 0.02, 0.23, 0.7])]
-    iy_m = np.full(_SHAPE[2], 1e-3)
-    for i, y, p in ((3, 3, 0.4), (0, 3, 0.25), (3, 0, 0.1), (0, 0, 0.08), (3, 2, 0.05), (0, 2, 0.04), (2, 3, 0.04), (2, 0, 0.02), (2, 2, 0.005), (3, 1, 0.005), (1, 3, 0.005)):
-        iy_m[len(YEAR) * i + y] = p
-    m.append(iy_m / iy_m.sum())
-    u = [np.bincount(pats[:, k], weights=n, minlength=_SHAPE[k]) + 0.5 for k in range(3)]
+    start = _start()
+    for k, level in impossible:
+        start[k][level] = 0.0
+    m = [x / x.sum() for x in start]
+    u = [np.bincount(pats[:, k], weights=n, minlength=size) + 0.5 for k, size in enumerate(_SHAPE)]
     u = [x / x.sum() for x in u]
-    share = 0.05
+    share = 1e-4
     for _ in range(rounds):
-        pm, pu = (np.prod([x[k][pats[:, k]] for k in range(3)], axis=0) for x in (m, u))
+        pm, pu = (np.prod([x[k][pats[:, k]] for k in range(len(_SHAPE))], axis=0) for x in (m, u))
         post = share * pm / (share * pm + (1 - share) * pu + 1e-300)
-        post[never] = 0.0
         before = share
-        share = min(max(float((n * post).sum() / n.sum()), 1e-6), 0.9)
-        for k in range(3):
+        share = min(max(float((n * post).sum() / n.sum()), 1e-15), 0.9)
+        for k, size in enumerate(_SHAPE):
             # A little of the starting point stays, so that levels the data never show keep a sensible place.
-            mk = np.bincount(pats[:, k], weights=n * post, minlength=_SHAPE[k]) + 2.0 * m[k]
-            uk = np.bincount(pats[:, k], weights=n * (1 - post), minlength=_SHAPE[k]) + 0.05
+            mk = np.bincount(pats[:, k], weights=n * post, minlength=size) + 2.0 * start[k]
+            uk = np.bincount(pats[:, k], weights=n * (1 - post), minlength=size) + 0.05
             m[k], u[k] = mk / mk.sum(), uk / uk.sum()
-        if abs(before - share) < 1e-9:
+        if abs(before - share) < 1e-6 * share:
             break
-    m[0][2] = 0.0
-    m[2][never_iy] = 0.0
     return share, m, u
 
 
-def link(left: DataFrame, right: DataFrame, least: float = CONFIDENCE) -> DataFrame:
+def link(left: DataFrame, right: DataFrame, least: float = CONFIDENCE, impossible: Impossible = PUBLICATION) -> DataFrame:
     """`id, ext_id, confidence` of every match.
 
     Both sides hold `key, title, author, ident, year`. Null, empty and wordless attributes take part as "not known". Keys may
@@ -224,7 +260,7 @@ def link(left: DataFrame, right: DataFrame, least: float = CONFIDENCE) -> DataFr
     python_path(left.sparkSession)
     (raw_l, nl), (raw_r, nr) = (_prepared(d, "title", "author", "ident", F.col("year")) for d in (left, right))
     n = max(nl.count(), 1)
-    often = nl.filter("head is not null").groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(7, COMMON_TITLE * n)).select("head", F.lit(True).alias("is_common"))
+    often = nl.filter("head is not null").groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > OF_ONE_WORK + COMMON_TITLE * n).select("head", F.lit(True).alias("is_common"))
     pairs = candidate_pairs(nl, nr)
     # Never more titles than 1 / COMMON_TITLE can be common.
     l = nl.join(F.broadcast(often), "head", "left").select(F.col("rec").alias("l"), "title", "author", "ident", "year", F.coalesce("is_common", F.lit(False)).alias("common"))
@@ -236,10 +272,13 @@ def link(left: DataFrame, right: DataFrame, least: float = CONFIDENCE) -> DataFr
     empty = spark.createDataFrame([], "id string, ext_id string, confidence double")
     if not counts:
         return empty
-    share, m, u = expectation_maximisation(counts)
+    every = apart(nl, nr, sum(counts.values()))
+    for p, k in counts.items():
+        every[p] = every.get(p, 0.0) + k
+    share, m, u = expectation_maximisation({p: k for p, k in every.items() if k > 0}, impossible)
     post = {}
     for p in counts:
-        a, b = share * np.prod([m[k][p[k]] for k in range(3)]), (1 - share) * np.prod([u[k][p[k]] for k in range(3)])
+        a, b = share * np.prod([m[k][x] for k, x in enumerate(p)]), (1 - share) * np.prod([u[k][x] for k, x in enumerate(p)])
         post[p] = float(a / (a + b)) if a + b > 0 else 0.0
     table = spark.createDataFrame([(*p, c) for p, c in post.items() if c >= least], "t int, a int, iy int, confidence double")
     good = compared.join(F.broadcast(table), ["t", "a", "iy"]).select("l", "r", "confidence")

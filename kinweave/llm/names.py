@@ -9,19 +9,6 @@ from typing import NamedTuple
 
 from kinweave.llm.consistent import consistent
 
-# Given names and their short forms.
-NICKNAMES = {
-    "alexander": "alex al sandy sasha alec lex xander", "antonia": "toni nia tonya annie", "beatriz": "bea trixie triz betty", "bruno": "", "celine": "celia lina",
-    "christopher": "chris kit topher", "cyril": "cy", "delphine": "della", "dimitri": "dima mitya mitri", "dorothy": "dot dolly dora dottie dodie", "edward": "ed ned ted eddie teddy",
-    "eleanor": "ellie nell nora lena elly", "elizabeth": "liz betty beth eliza lizzie bess libby", "emil": "", "esther": "essie hettie", "fabian": "fabe", "flora": "flo flossie",
-    "francis": "frank fran frankie", "frederick": "fred freddie fritz", "gabriel": "gabe", "greta": "gretel", "gustav": "gus", "henry": "hal harry hank", "hugo": "hugh", "ines": "inez agnes",
-    "johannes": "hans jan jo johan", "jonas": "", "josephine": "jo josie fina", "karin": "kari", "katherine": "kate kitty kathy kat kay katie", "lukas": "luke luca", "margaret": "maggie peggy meg greta daisy madge",
-    "mirela": "mira", "nicholas": "nick klaus nico claus", "norbert": "bert norb", "odile": "", "pavel": "pasha paul", "ramona": "mona", "richard": "dick rick rich richie", "robert": "bob rob bobby bert robin",
-    "samuel": "sam sammy", "susannah": "sue susie sukey susan", "sven": "", "theodore": "ted teddy theo", "thomas": "tom tommy", "tilda": "tilly", "ulrich": "uli", "vera": "", "victoria": "vicky tori vic",
-    "walter": "walt wally", "wilhelmina": "mina minnie willa billie wilma", "william": "bill will willie billy", "yvette": "eve", "zoltan": "zoli", "charles": "charlie chuck", "james": "jim jimmy jamie",
-    "john": "jack johnny", "joseph": "joe joey", "michael": "mike mick", "daniel": "dan danny", "david": "dave", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben", "peter": "pete", "philip": "phil",
-    "patricia": "pat patty trish", "rebecca": "becky", "sarah": "sally", "anne": "annie nan nancy", "helen": "nell", "mary": "molly polly", "martha": "patty", "stephen": "steve", "matthew": "matt", "timothy": "tim",
-}
 # Heads of corporate names with their abbreviations, and words that do not tell bodies apart.
 HEADS = {
     "academy": "acad", "association": "assoc assn", "bureau": "", "college": "coll", "committee": "comm", "conservatory": "conserv conservatoire", "council": "", "department": "dept dep", "foundation": "found", "institute": "inst",
@@ -30,10 +17,6 @@ HEADS = {
 _FILLERS = frozenset("of for the at in and on de la".split())
 _HONORIFICS = frozenset("dr prof sir mr mrs ms rev jr sr".split())
 _SHORT = {n: full for full, short in HEADS.items() for n in (full, *short.split())}
-_FULL: dict[str, set[str]] = {}
-for _full, _shorts in NICKNAMES.items():
-    for _n in (_full, *_shorts.split()):
-        _FULL.setdefault(_n, set()).add(_full)
 
 
 class Name(NamedTuple):
@@ -67,9 +50,18 @@ def _years(s: str | None) -> tuple[int | None, int | None]:
     return None, None
 
 
-@lru_cache(1 << 16)
 def parse(author: str | None, dates: str | None = None) -> Name:
-    """A heading in any of its usual forms; null, blank and wordless headings have kind `none`."""
+    """The first reading of a heading."""
+    return readings(author, dates)[0]
+
+
+@lru_cache(1 << 16)
+def readings(author: str | None, dates: str | None = None) -> tuple[Name, ...]:
+    """A heading in any of its usual forms; null, blank and wordless headings have kind `none`.
+
+    Without a comma either end of a personal name may hold the family name, and both readings are given, unless one end is
+    an initial.
+    """
     text = fold(author or "")
     born, died = _years(dates)
     if m := re.search(r",?\s*(?:b\.\s*)?\d{4}\s*(?:[-–—]\s*(?:\d{4})?)?\.?\s*$", text):
@@ -78,31 +70,20 @@ def parse(author: str | None, dates: str | None = None) -> Name:
         text = text[: m.start()]
     words = re.findall(r"[^\W\d_]+", text)
     if not words:
-        return Name("none", (), (), born, died)
+        return (Name("none", (), (), born, died),)
     head = next((w for w in words if w in _SHORT and (len(w) > 3 or f"{w}." in text or w == "lib")), None)
     if head and len(words) > 2:
-        return _body(text, words)
-    words = [w for w in words if w not in _HONORIFICS] or words
+        return (_body(text, words),)
     if "," in text:
-        left, right = text.split(",", 1)
-        family = tuple(w for w in re.findall(r"[^\W\d_]+", left) if w not in _HONORIFICS)
-        given = tuple(w for w in re.findall(r"[^\W\d_]+", right) if w not in _HONORIFICS)
-        if not family:
-            family, given = given[:1], given[1:]
-    elif len(words) == 1:
-        family, given = (words[0],), ()
-    else:
-        # Which end holds the family name: never an initial or a known given name, else the longer word.
-        first, last = words[0], words[-1]
-        known = lambda w: len(w) == 1 or w in _FULL
-        at_end = known(first) if known(first) != known(last) else len(last) >= len(first)
-        hyphen = re.search(r"([^\W\d_]+)-([^\W\d_]+)", text)
-        if hyphen and (hyphen[2] == last or hyphen[1] == first):
-            at_end = hyphen[2] == last
-            family, given = (hyphen[1], hyphen[2]), tuple(w for w in words if w not in hyphen.groups())
-        else:
-            family, given = ((last,), tuple(words[:-1])) if at_end else ((first,), tuple(words[1:]))
-    return Name("person", family, given, born, died)
+        left, right = (tuple(w for w in re.findall(r"[^\W\d_]+", x) if w not in _HONORIFICS) for x in text.split(",", 1))
+        return (Name("person", left or right[:1], right if left else right[1:], born, died),)
+    # What a hyphen joins stays together.
+    parts = [p for x in text.split() if (p := tuple(w for w in re.findall(r"[^\W\d_]+", x) if w not in _HONORIFICS))] or [tuple(words)]
+    flat = lambda ps: tuple(w for p in ps for w in p)
+    ends = [Name("person", parts[-1], flat(parts[:-1]), born, died)]
+    if len(parts) > 1:
+        ends.append(Name("person", parts[0], flat(parts[1:]), born, died))
+    return tuple(n for n in ends if max(map(len, n.family)) > 1) or tuple(ends[:1])
 
 
 def _body(text: str, words: list[str]) -> Name:
@@ -153,32 +134,30 @@ def _alike(a: str, b: str) -> float:
     if a == b:
         return 1.0
     most = typo_limit(max(len(a), len(b))) if min(len(a), len(b)) > 2 else 0
+    if not most or len(set(a) ^ set(b)) > 2 * most:  # an operation changes two letters at most
+        return 0.0
     d = osa(a, b, most)
     return 1.0 - 0.12 * d if d <= most else 0.0
 
 
-def given_agreement(a: str, b: str) -> float:
-    """1 for equal given names, less for nicknames, typing errors, beginnings and initials, 0 for different ones."""
+#: Given names -> the fuller names that they may stand for.
+Fulls = dict[str, tuple[str, ...]]
+
+
+def given_agreement(a: str, b: str, fulls: Fulls = {}) -> float:  # noqa: B006
+    """1 for equal given names, less for short forms, typing errors, beginnings and initials, 0 for different ones."""
     if a == b:
         return 1.0
-    short, full = sorted((a, b), key=len)
-    if len(short) == 1:
-        return 0.7 if full[0] == short or any(f[0] == short for f in _FULL.get(full, ())) else 0.0
-    fa, fb = _FULL.get(a), _FULL.get(b)
-    if fa and fb:
-        return 0.9 if fa & fb else 0.75 if a not in NICKNAMES and any(f.startswith(a) for f in fb) or b not in NICKNAMES and any(f.startswith(b) for f in fa) else 0.0
-    for x, y in ((a, b), (b, a)):
-        if len(x) <= 4 and (y.startswith(x) or any(f.startswith(x) for f in _FULL.get(y, ()))):
-            return 0.8
-    return 0.85 if (x := _alike(a, b)) else x
-
-
-def given_initials(name: Name) -> set[str]:
-    """First letters that the first given name may stand for; what `given_agreement` accepts shares one, but for a typing error in it."""
-    if not name.given:
-        return {""}
-    g = name.given[0]
-    return {g[0]} | {f[0] for f in _FULL.get(g, ())}
+    best = 0.0
+    for k, x in enumerate((a, *fulls.get(a, ()))):
+        for m, y in enumerate((b, *fulls.get(b, ()))):
+            short, full = sorted((x, y), key=len)
+            if len(short) == 1:
+                got = 0.7 if full[0] == short else 0.0
+            else:
+                got = 0.8 if len(short) <= 4 and full.startswith(short) and x != y else 0.9 * _alike(x, y) if x != y else 1.0
+            best = max(best, got if k + m == 0 else 0.9 * got)
+    return best
 
 
 def family_agreement(a: Name, b: Name) -> float:
@@ -188,7 +167,7 @@ def family_agreement(a: Name, b: Name) -> float:
     return max(whole, 0.95 * parts)
 
 
-def agreement(a: Name, b: Name) -> float:
+def agreement(a: Name, b: Name, fulls: Fulls = {}) -> float:  # noqa: B006
     """How well two names agree, from 0 (they cannot be the same) to 1."""
     if a.kind != b.kind or a.kind == "none":
         return 0.0
@@ -206,14 +185,31 @@ def agreement(a: Name, b: Name) -> float:
         return 0.0
     if not a.given or not b.given:
         return 0.5 * family
-    first = given_agreement(a.given[0], b.given[0])
+    first = given_agreement(a.given[0], b.given[0], fulls)
     if not first:
         return 0.0
     middle = 0.85
     if len(a.given) > 1 and len(b.given) > 1:
-        m = given_agreement(a.given[1], b.given[1])
+        m = given_agreement(a.given[1], b.given[1], fulls)
         if not m:
             return 0.0
         middle = 0.9 + 0.1 * m
     dated = 1.0 if a.born and a.born == b.born or a.died and a.died == b.died else 0.95
     return family * (0.4 + 0.6 * first) * middle * dated
+
+
+def best_agreement(a: tuple[Name, ...], b: tuple[Name, ...], fulls: Fulls = {}) -> float:  # noqa: B006
+    """The best agreement of any two readings."""
+    return max(agreement(x, y, fulls) for x in a for y in b)
+
+
+def kin(a: tuple[Name, ...], b: tuple[Name, ...]) -> tuple[str, str, str] | None:
+    """`family, given, given` of two persons with the very same family name whose first given names are not just spelled differently,
+    and whose dates do not contradict each other; the given names in order."""
+    for x in a:
+        for y in b:
+            if x.kind == y.kind == "person" and x.family == y.family and x.given and y.given and not (x.born and y.born and x.born != y.born or x.died and y.died and x.died != y.died):
+                g, h = sorted((x.given[0], y.given[0]))
+                if len(g) > 1 and len(h) > 1 and not _alike(g, h):
+                    return " ".join(x.family), g, h
+    return None

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.llm import leakage, linkage, termfreq, variants
+from kinweave.llm import leakage, linkage, meeting, termfreq, variants
 
 # Term frequencies
 
@@ -64,18 +64,39 @@ def classes(spark, rows):
     return {frozenset(v) for v in out.values()}
 
 
+#: Families under which short forms of given names can be learned.
+FAMILIES = ["Baldromvik", "Teskunlarup", "Mornelquist", "Garvintosby", "Polderhaam", "Ruskenfeld", "Wimbortell", "Zandrimont"]
+SHORT = {"Francis": "Frank", "Richard": "Dick", "Elizabeth": "Bess"}
+
+
+def taught():
+    """Headings that show each short form beside its name under every family, and more often the name."""
+    given = list(SHORT)
+    people = [(f + end, given[(k + j) % 3]) for j, end in enumerate(("", "sen", "wick")) for k, f in enumerate(FAMILIES)] + [(FAMILIES[0], "Elizabeth")]
+    rows = [f"{f}, {x}" for f, g in people for x in (g, SHORT[g])] + [f"{f}{end}, {given[k % 3]}" for k, f in enumerate(FAMILIES) for end in ("berg", "land")]
+    return [(1000 + k, author, None) for k, author in enumerate(rows)]
+
+
 def test_variants(spark):
     rows = [
         (1, "Jordelbaunik, Francis", "1948-1984"), (2, "jordelbaunik, frank", None), (3, "Jordelbuanik, Francis", None), (4, "F. Jordelbaunik", None), (5, "Jordelbaunik, Odile", None), (6, "Cerjelsornik, Thomas", "1692-1725"),
         (7, "Cerjelsornik, Thomas", "1808-1841"), (8, "Lib. of Folk Music, Zordorpaciska", None), (9, "Zordorpaciska Library of Folk Music", None), (10, "Zordorpaciska Library of Applied Botany", None), (11, None, None), (12, " ?", None),
-        (1, "Jordelbaunik, Francis", "1948-1984"), (13, "Jordelbaunik, Francis", "1948-1984"),
+        (1, "Jordelbaunik, Francis", "1948-1984"), (13, "Jordelbaunik, Francis", "1948-1984"), (14, "Frank Jordelbaunik", None), (15, "Smith, Jo", None), (16, "Smyth, Joanna", None),
     ]
-    assert classes(spark, rows) == {frozenset(x) for x in ({1, 2, 3, 4, 13}, {5}, {6}, {7}, {8, 9}, {10})}
-    pairs = variants.variant_pairs(variants.variant_classes(spark.createDataFrame(rows, "id long, author string, dates string"), "id", "author", "dates"))
-    assert pairs.count() == 10 + 1
+    got = {frozenset(k for k in c if k < 1000) for c in classes(spark, rows + taught())} - {frozenset()}
+    assert got == {frozenset(x) for x in ({1, 2, 3, 4, 13, 14}, {5}, {6}, {7}, {8, 9}, {10}, {15, 16})}
+    few = spark.createDataFrame(rows[:1] + rows[2:4] + rows[12:14], "id long, author string, dates string")
+    assert variants.variant_pairs(variants.variant_classes(few, "id", "author", "dates")).count() == 6
     assert classes(spark, []) == set()
 
 
+def test_short_forms_are_learned(spark):
+    df = spark.createDataFrame(taught(), "id long, author string, dates string")
+    profiles = df.select("author", "dates").distinct().mapInPandas(variants._profiles, variants._PROFILE).cache()
+    got = {(r["given"], r["fuller"]) for r in variants.short_forms(variants.similar_profiles(profiles), profiles).collect()}
+    assert got == {(s.lower(), g.lower()) for g, s in SHORT.items()}, got
+
+
 def linkage_tree(n, sims, least):
     """Average linkage by always merging the closest pair."""
     groups = [{k} for k in range(n)]
@@ -102,25 +123,29 @@ def test_average_linkage_is_the_greedy_one(spark, seed):
     assert {frozenset(v) for v in got.values()} == linkage_tree(14, sims, 0.45)
 
 
-def test_similar_texts_are_all_found(spark):
+@pytest.mark.parametrize("cosine", [0.35, 0.5, 0.7])
+@pytest.mark.parametrize("most", [50, 20_000])
+def test_similar_texts_are_all_found(spark, monkeypatch, cosine, most):
+    """Against all pairs, also with hot grams cut into parts."""
+    monkeypatch.setattr(variants, "meet", lambda a, b: meeting.meet(a, b, most))
     rng = random.Random(5)
     part = ["kar", "mel", "dor", "vin", "bal", "sen"]
-    texts = sorted({"".join(rng.choice(part) for _ in range(4)) for _ in range(120)})
-    nodes = spark.createDataFrame([(t, t, "x") for t in texts], "node string, text string, initial string")
-    got = {(r["a"], r["b"]) for r in variants.similar_texts(nodes, 0.5).collect()}
-    grams = {t: variants.grams(t) for t in texts}
+    texts = sorted({" ".join("".join(rng.choice(part) for _ in range(n)) for n in (3, rng.choice([1, 2]))) for _ in range(120)})
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = {(r["a"], r["b"]): r["cosine"] for r in variants.similar_texts(nodes, cosine).collect()}
+    grams = [variants.grams(t) for t in texts]
     df = {}
-    for g in grams.values():
+    for g in grams:
         for k in g:
             df[k] = df.get(k, 0) + 1
-    vec = {}
-    for t, g in grams.items():
-        v = {k: n * np.sqrt(1 + np.log(len(texts) / df[k])) for k, n in g.items()}
+    vec = []
+    for g in grams:
+        v = {k: float(variants.weight(np.array(n, float), np.array(df[k], float), len(texts))) for k, n in g.items() if df[k] > 1}
         norm = np.sqrt(sum(x * x for x in v.values()))
-        vec[t] = {k: x / norm for k, x in v.items()}
-    want = {(a, b) for a in texts for b in texts if a < b and sum(x * vec[b].get(k, 0) for k, x in vec[a].items()) >= 0.5}
-    assert got == want
-    top = variants.similar_texts(nodes, 0.5, top_n=1)
+        vec.append({k: x / norm for k, x in v.items()})
+    want = {(a, b): c for a in range(len(texts)) for b in range(a + 1, len(texts)) if (c := sum(x * vec[b].get(k, 0) for k, x in vec[a].items())) >= cosine}
+    assert got == pytest.approx(want) and len(want) >= 20
+    top = variants.similar_texts(nodes, cosine, top_n=1)
     assert 0 < top.count() <= len(got)
 
 
@@ -142,18 +167,46 @@ def test_linkage(spark):
     assert linkage.link(side([]), side(other)).count() == 0
 
 
-def test_hot_blocks_lose_no_match(spark):
-    """A title that a third of the records share: blocks are refined, and pairs that agree on more are still met."""
-    rows = [(k, "Poems", f"Author{k % 7}, Jonas", f"2090{k:06d}", str(1900 + k % 50)) for k in range(300)]
-    df = spark.createDataFrame([(str(k), *r) for k, *r in rows], "key string, title string, author string, ident string, year string")
-    _, n = linkage._prepared(df, "title", "author", "ident", F.col("year"))
-    pairs = {(r["l"], r["r"]) for r in linkage.candidate_pairs(n, n, max_pairs=50).collect()}
-    recs = {r["rec"]: r for r in n.collect()}
-    for a in recs:
-        for b in recs:
-            x, y = recs[a], recs[b]
-            if x["ident"] == y["ident"] or x["author"] == y["author"] and x["year"] == y["year"]:
-                assert (a, b) in pairs
+def test_blocking_loses_no_match(spark, monkeypatch):
+    """What is linked with all pairs as candidates is linked with blocks, but for a few pairs in a hundred."""
+    rng = random.Random(3)
+    words = ["comet", "river", "lantern", "orchard", "signal", "harbour", "meadow", "copper", "violin", "glacier", "memoirs", "essays"]
+    family = ["".join(rng.choice(["kar", "mel", "dor", "vin", "bal", "sen", "tul", "rog"]) for _ in range(4)) for _ in range(60)]
+
+    def typo(s):
+        k = rng.randrange(1, len(s) - 1)
+        return rng.choice([s[:k] + s[k + 1 :], s[:k] + s[k + 1] + s[k] + s[k + 2 :], s[:k] + "x" + s[k:]]) if rng.random() < 0.3 else s
+
+    own = [(f"b{k}", f"The {rng.choice(words)} of {rng.choice(words)}" if k % 4 else rng.choice(words[-2:]), f"{rng.choice(family)}, {rng.choice(['Odile', 'Henry', 'Jonas'])}", f"2090{k * 7919 % 10**6:06d}", str(1900 + k % 90)) for k in range(150)]
+    other = [(f"e{k}", typo(t).upper(), typo(a) if k % 5 else None, i if k % 3 else None, y if k % 4 else None) for k, (_, t, a, i, y) in enumerate(own[:100])]
+    schema = "key string, title string, author string, ident string, year string"
+    a, b = spark.createDataFrame(own, schema), spark.createDataFrame(other, schema)
+    got = {(r["id"], r["ext_id"]) for r in linkage.link(a, b).collect()}
+    monkeypatch.setattr(linkage, "candidate_pairs", lambda l, r: l.select(F.col("rec").alias("l")).crossJoin(r.select(F.col("rec").alias("r"))))
+    want = {(r["id"], r["ext_id"]) for r in linkage.link(a, b).collect()}
+    assert len(want) > 80 and len(got & want) >= 0.98 * len(want)
+
+
+def test_chance_agreement_is_counted_over_all_pairs(spark):
+    """Rates of levels among records that share no block, against all pairs."""
+    rng = random.Random(2)
+    left, right = ([(k, rng.choice(["a", None]), rng.choice(["x", None]), rng.choice([f"2090{rng.randrange(500):06d}", None]), rng.choice([str(1900 + rng.randrange(30)), None])) for k in range(600)] for _ in "lr")
+    schema = "rec long, head string, author string, ident string, year string"
+    df, other = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    got = linkage.apart(df, other, 0)
+    want = {}
+    for _, h, a, i, y in left:
+        for _, h2, a2, i2, y2 in right:
+            edit = linkage._level_text(i, i2)
+            # Equal identifiers never stand apart, so they count as known and different here; only one changed digit counts as near.
+            level = 2 if edit == 2 and sum(p != q for p, q in zip(i, i2)) == 1 else min(edit, 1)
+            p = (int(bool(h and h2)), int(bool(a and a2)), 4 * level + linkage._level_year(y, y2))
+            want[p] = want.get(p, 0) + 1
+    iy = lambda d: {k: sum(n for p, n in d.items() if p[2] == k) for k in range(12)}
+    assert sum(got.values()) == pytest.approx(len(left) * len(right))
+    for k, n in iy(want).items():
+        assert iy(got)[k] == pytest.approx(n, rel=0.2, abs=500)
+    assert linkage.apart(df.limit(0), df, 0) == {}
 
 
 def test_hot_blocks_lose_no_pair(spark):
