@@ -71,10 +71,16 @@ def _masks(y: str) -> list[str]:
     return [y[:i] + "_" + y[i + 1 :] for i in range(len(y))]
 
 
+@lru_cache(1 << 16)
+def families(author: str | None) -> tuple[str, ...]:
+    """Every part, and the whole, of what may be the family name; of a body, its place."""
+    return tuple(dict.fromkeys(w for n in names.readings(author, None) for w in (*n.family, "".join(n.family)) if w))
+
+
 def blocks(title: str | None, author: str | None, ident: str | None, when: str | None) -> list[int]:
     """The hashed blocking keys of one record, all passes together. Equal hashes of different keys only add pairs."""
     out = {f"L|{ident}"} if ident else set()
-    family = {w for n in names.readings(author, None) for w in (*n.family, "".join(n.family)) if w}
+    family = families(author)
     forms = title_forms(title)
     for t in forms:
         out.add(f"T|{t}")
@@ -116,14 +122,6 @@ def _level_text(a: str | None, b: str | None) -> int:
     return 3 if a == b else 2 if names.osa(a, b, 1) == 1 else 1
 
 
-def _level_year(a: str | None, b: str | None) -> int:
-    if not a or not b:
-        return 0
-    if a == b:
-        return 3
-    return 2 if sum(x != y for x, y in zip(a, b)) == 1 or abs(int(a) - int(b)) == 1 else 1
-
-
 @lru_cache(1 << 16)
 def _level_author(a: str | None, b: str | None) -> int:
     x, y = names.readings(a, None), names.readings(b, None)
@@ -142,14 +140,14 @@ def _normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, years = ids.where(ids.notna(), None), years.where(years.notna(), None)
         keys = [blocks(*r) for r in zip(pdf["title"], pdf["author"], ids, years)]
         head = [(title_forms(t) or [None])[0] for t in pdf["title"]]
-        yield pd.DataFrame({"rec": pdf["rec"], "title": pdf["title"], "author": pdf["author"], "ident": ids, "year": years, "head": head, "blocks": keys})
+        yield pd.DataFrame({"rec": pdf["rec"], "title": pdf["title"], "author": pdf["author"], "ident": ids, "year": years, "head": head, "forms": [list(title_forms(t)) for t in pdf["title"]], "family": [list(families(a)) for a in pdf["author"]], "blocks": keys})
 
 
 def _prepared(df: DataFrame, title: str, author: str, ident: str, when: Column) -> tuple[DataFrame, DataFrame]:
     """Distinct attribute rows as they are stored, and with their normal forms and blocking keys; copies of a record are one row."""
     rows = df.select(F.col(title).alias("title"), F.col(author).alias("author"), F.col(ident).alias("ident"), when.cast("string").alias("year"))
     rows = checkpoint(rows.distinct().withColumn("rec", F.monotonically_increasing_id()))
-    normal = rows.mapInPandas(_normal, "rec long, title string, author string, ident string, year string, head string, blocks array<long>")
+    normal = rows.mapInPandas(_normal, "rec long, title string, author string, ident string, year string, head string, forms array<string>, family array<string>, blocks array<long>")
     return rows.select("rec", *[F.col(c).alias(f"raw_{c}") for c in ("title", "author", "ident", "year")]), checkpoint(normal)
 
 
@@ -159,13 +157,43 @@ def candidate_pairs(left: DataFrame, right: DataFrame, max_pairs: int = MAX_PAIR
     return meet(kl, kr, max_pairs).distinct()
 
 
+def _alike(x: Column, y: Column, most: Column) -> Column:
+    """Whether two texts may be at most `most` typing errors apart; a transposition counts twice here."""
+    return F.when(F.abs(F.length(x) - F.length(y)) <= most, F.levenshtein(x, y) <= 2 * most).otherwise(F.lit(False))
+
+
+def levels(pairs: DataFrame) -> DataFrame:
+    """`l, r, t, a, i, y` with the levels that the JVM can tell, and the texts of those it cannot (-1), else null.
+
+    Most pairs of a block differ so much, or agree so plainly, that no text of theirs has to leave the JVM.
+    """
+    fl, fr = F.col("forms"), F.col("r_forms")
+    first, last = (lambda f: F.get(f, F.lit(0))), (lambda f: F.element_at(f, -1))
+    none = (F.size(fl) == 0) | (F.size(fr) == 0)
+    equal = F.array_contains(fl, first(fr)) | F.array_contains(fr, first(fl))
+
+    def near(x: Column, y: Column) -> Column:
+        return _alike(x, y, F.greatest(F.lit(1), F.floor(F.least(F.length(x), F.length(y)) / 8)))
+
+    t = F.when(none, 0).when(equal, F.when(F.col("common"), 4).otherwise(5)).when(near(first(fl), first(fr)) | near(first(fl), last(fr)) | near(last(fl), first(fr)), -1).otherwise(1)
+    some = F.exists("family", lambda x: F.exists("r_family", lambda y: _alike(x, y, F.lit(2))))
+    a = F.when((F.size("family") == 0) | (F.size("r_family") == 0), 0).when(some, -1).otherwise(1)
+    il, ir, yl, yr = (F.col(c) for c in ("ident", "r_ident", "year", "r_year"))
+    i = F.when(il.isNull() | ir.isNull(), 0).when(il == ir, 3).when(_alike(il, ir, F.lit(1)), -1).otherwise(1)
+    digits = sum((F.substring(yl, k, 1) != F.substring(yr, k, 1)).cast("int") for k in range(1, 5))
+    y = F.when(yl.isNull() | yr.isNull(), 0).when(yl == yr, 3).when((digits == 1) | (F.abs(yl.cast("int") - yr.cast("int")) == 1), 2).otherwise(1)
+    got = pairs.withColumns({"t": t, "a": a, "i": i, "y": y})
+    asked = [F.when(F.col(k) == -1, F.col(c)).alias(c) for k, cs in (("t", ("title", "r_title")), ("a", ("author", "r_author")), ("i", ("ident", "r_ident"))) for c in cs]
+    return got.select("l", "r", "common", "t", "a", "i", "y", *asked)
+
+
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in batches:
-        t = [_level_title(*x) for x in zip(p["title"], p["r_title"], p["common"])]
-        a = [_level_author(*x) for x in zip(p["author"], p["r_author"])]
-        i = [_level_text(*x) for x in zip(p["ident"], p["r_ident"])]
-        y = [_level_year(*x) for x in zip(p["year"], p["r_year"])]
-        yield pd.DataFrame({"l": p["l"], "r": p["r"], "t": t, "a": a, "iy": [len(YEAR) * x + z for x, z in zip(i, y)]})
+        out = {c: p[c].to_numpy().copy() for c in ("l", "r", "t", "a", "i", "y")}
+        for k, level, cs in (("t", _level_title, ("title", "r_title", "common")), ("a", _level_author, ("author", "r_author")), ("i", _level_text, ("ident", "r_ident"))):
+            at = np.flatnonzero(out[k] == -1)
+            out[k][at] = [level(*x) for x in zip(*(p[c].iloc[at] for c in cs))]
+        yield pd.DataFrame({"l": out["l"], "r": out["r"], "t": out["t"], "a": out["a"], "iy": len(YEAR) * out["i"] + out["y"]})
 
 
 #: Levels that cannot occur between records of one publication by the definition of one: (attribute, level).
@@ -263,9 +291,10 @@ def link(left: DataFrame, right: DataFrame, least: float = CONFIDENCE, impossibl
     often = nl.filter("head is not null").groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > OF_ONE_WORK + COMMON_TITLE * n).select("head", F.lit(True).alias("is_common"))
     pairs = candidate_pairs(nl, nr)
     # Never more titles than 1 / COMMON_TITLE can be common.
-    l = nl.join(F.broadcast(often), "head", "left").select(F.col("rec").alias("l"), "title", "author", "ident", "year", F.coalesce("is_common", F.lit(False)).alias("common"))
-    r = nr.select(F.col("rec").alias("r"), *[F.col(c).alias(f"r_{c}") for c in ("title", "author", "ident", "year")])
-    compared = checkpoint(pairs.join(l, "l").join(r, "r").mapInPandas(_compare, "l long, r long, t int, a int, iy int"))
+    texts = ("title", "author", "ident", "year", "forms", "family")
+    l = nl.join(F.broadcast(often), "head", "left").select(F.col("rec").alias("l"), *texts, F.coalesce("is_common", F.lit(False)).alias("common"))
+    r = nr.select(F.col("rec").alias("r"), *[F.col(c).alias(f"r_{c}") for c in texts])
+    compared = checkpoint(levels(pairs.join(l, "l").join(r, "r")).mapInPandas(_compare, "l long, r long, t int, a int, iy int"))
     # At most as many rows as there are patterns.
     counts = {(x["t"], x["a"], x["iy"]): x["n"] for x in compared.groupBy("t", "a", "iy").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = left.sparkSession
