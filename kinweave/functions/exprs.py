@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinweave.config import Config
-from kinweave.dims import BASES, DEFAULT_TIER, LABEL_OF, TIERS
+from kinweave.dims import BASES, DEFAULT_TIER, LABEL_OF, TIER_OF
 
 INBOUND = "_INBOUND"
 TRAILING = " /;:,."
@@ -40,9 +40,9 @@ def clean_type(rel_type: Column) -> Column:
 def tier(slug: Column) -> Column:
     """1 to 5, and 3 for an unlisted type; letter case does not count."""
     s, w = F.lower(slug), F
-    for t, slugs in TIERS.items():
+    for t in BASES:
         if t != DEFAULT_TIER:
-            w = w.when(s.isin(slugs.split()), t)  # long lists become hash sets
+            w = w.when(s.isin([x for x, own in TIER_OF.items() if own == t]), t)  # long lists become hash sets
     return w.otherwise(F.lit(DEFAULT_TIER))
 
 

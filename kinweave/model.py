@@ -12,7 +12,7 @@ MARC = """leader string, controlfield array<struct<_tag string, _VALUE string>>,
 #: What one hub's RDF holds.
 PARSED_RDF = """uri string, title string, agents array<string>, media array<string>,
  relations array<struct<targetUri string, relType string, title string, isDirect boolean>>"""
-SUGGEST_HIT = "aLabel string, uri string, token string, vLabel string, more struct<marcKeys array<string>, varianttitles array<string>, rdftypes array<string>, contributors array<string>, identifiers array<string>, subjects array<string>>"
+#: One index document, as `kinweave.sources.marc.index_document` makes it.
 INDEX_DOCUMENT = """id string, title string, title_short string, title_full string, title_sort string, title_auth string, author string, author_sort string,
  format array<string>, record_format string, language array<string>, publishDate array<string>, fullrecord string"""
 TRIPLE = "s string, p string, o string, o_is_iri boolean, lang string"

@@ -15,15 +15,23 @@ def not_bnode(type_uri: Column) -> Column:
     return type_uri.isNull() | ~type_uri.startswith("bnode")
 
 
-def between_hubs(graph: Graph) -> DataFrame:
+def between_hubs(graph: Graph, relation: DataFrame | None = None) -> DataFrame:
     """Relations whose both ends are hubs. A semi-join needs no distinct side, and a small one is broadcast."""
-    hub, r = broadcast_if_small(graph.hub.select("hub_uri")), graph.relation
+    hub, r = broadcast_if_small(graph.hub.select("hub_uri")), graph.relation if relation is None else relation
     return r.join(hub, r.source_uri == hub.hub_uri, "left_semi").join(hub, r.target_uri == hub.hub_uri, "left_semi")
 
 
-def typed_relations(graph: Graph, config: Config = Config()) -> DataFrame:
-    """`source_uri, target_uri, rel_type` between hubs: one row per type, `related` without any, none when all are bnodes."""
-    t = between_hubs(graph).join(graph.relation_type, "relation_id", "left").filter(not_bnode(F.col("type_uri")))
+def typed_relations(graph: Graph, config: Config = Config(), sources: DataFrame | None = None) -> DataFrame:
+    """`source_uri, target_uri, rel_type` between hubs: one row per type, `related` without any, none when all are bnodes.
+
+    With `sources(source_uri)` only relations that start or end at one of them are looked at, before any other join.
+    """
+    r = graph.relation
+    if sources is not None:
+        s = broadcast_if_small(sources.select(F.col("source_uri").alias("wanted")).distinct())
+        out, back = r.join(s, r.source_uri == s.wanted, "left_semi"), r.join(s, r.target_uri == s.wanted, "left_semi")
+        r = out.unionByName(back.join(s, back.source_uri == s.wanted, "left_anti"))
+    t = between_hubs(graph, r).join(graph.relation_type, "relation_id", "left").filter(not_bnode(F.col("type_uri")))
     return t.select("source_uri", "target_uri", X.relation_slug(F.col("type_uri"), config).alias("rel_type"))
 
 
@@ -85,12 +93,12 @@ def hub_context(graph: Graph, wanted: DataFrame | None = None) -> DataFrame:
     Titles, agents and types are each collected before they are joined. The title is the smallest first title of the hub's
     title nodes; agents and media are sorted sets, empty when there are none.
     """
-    hub = graph.hub.select("hub_uri").distinct()
-    if wanted is not None:
-        hub = hub.join(wanted.select("hub_uri").distinct(), "hub_uri", "left_semi")
-    title = graph.title.groupBy("hub_uri").agg(F.min(F.get("main_titles", F.lit(0))).alias("title"))
-    agents = graph.agent.groupBy("hub_uri").agg(F.sort_array(F.collect_set("agent_uri")).alias("agents"))
-    media = graph.type.groupBy("hub_uri").agg(F.sort_array(F.collect_set("type_uri")).alias("media"))
+    w = None if wanted is None else broadcast_if_small(wanted.select("hub_uri").distinct())
+    of = lambda df: df if w is None else df.join(w, "hub_uri", "left_semi")
+    hub = of(graph.hub.select("hub_uri")).distinct()
+    title = of(graph.title).groupBy("hub_uri").agg(F.min(F.get("main_titles", F.lit(0))).alias("title"))
+    agents = of(graph.agent).groupBy("hub_uri").agg(F.sort_array(F.collect_set("agent_uri")).alias("agents"))
+    media = of(graph.type).groupBy("hub_uri").agg(F.sort_array(F.collect_set("type_uri")).alias("media"))
     none = F.array().cast("array<string>")
     c = hub.join(title, "hub_uri", "left").join(agents, "hub_uri", "left").join(media, "hub_uri", "left")
     return c.select("hub_uri", "title", F.coalesce("agents", none).alias("agents"), F.coalesce("media", none).alias("media"))

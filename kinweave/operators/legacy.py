@@ -44,6 +44,12 @@ def degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("source_uri").alias("hub_uri")).agg(F.count(F.lit(1)).alias("rel_count"))
 
 
+def candidates(title: DataFrame, edges: DataFrame, text: str, n: int = 10) -> DataFrame:
+    """`hub_uri, rel_count`: of the hubs any of whose titles contains a text, whatever its case, the `n` with most direct edges."""
+    held = title.filter(F.exists("main_titles", lambda t: F.contains(F.lower(t), F.lit(text.lower())))).select("hub_uri").distinct()
+    return held.join(degree(edges), "hub_uri").orderBy(F.desc("rel_count"), "hub_uri").limit(n)
+
+
 def score(related: DataFrame, context: DataFrame, frequencies: DataFrame, total: int, config: Config = Config()) -> DataFrame:
     """Adds `tier, base, rarity_bonus, author_bonus, medium_bonus, score`; media bring 10 when they differ at all."""
     f = broadcast_if_small(frequencies.select(F.col("rel_type").alias("f_type"), "freq"))

@@ -164,6 +164,17 @@ def by_label(wanted: DataFrame, labels: DataFrame) -> DataFrame:
     return wanted.filter("label <> ''").join(one, "label").select("id", "hub_uri")
 
 
+def label_hits(wanted: DataFrame, labels: DataFrame, search) -> DataFrame:
+    """`id, uri, aLabel, token` of the hub whose access point is exactly the wanted `label`.
+
+    Its `aLabel` is that of the first hit of a search for the label, which may be another hub's, and without a hit the wanted
+    one; the URI is the label's own in any case. `search(queries(id, query)) -> (id, position, uri, aLabel)`.
+    """
+    found = wanted.join(by_label(wanted, labels), "id")
+    first = search(found.select("id", F.col("label").alias("query"))).filter("position = 1").select("id", "aLabel")
+    return found.join(first, "id", "left").select("id", F.col("hub_uri").alias("uri"), F.coalesce("aLabel", "label").alias("aLabel"), X.basename(F.col("hub_uri")).alias("token"))
+
+
 def label_cascade(records: DataFrame, labels: DataFrame, suggest) -> DataFrame:
     """`id, hub_uri, strategy` by four strategies in turn: the label of author and uniform title, of the uniform title, a
     search for author and title, and for the title. `suggest(queries(id, query)) -> (id, uri)` is the search.

@@ -63,10 +63,15 @@ def top(scored: DataFrame, n: int = 10) -> DataFrame:
 
 
 def grouped(rank: DataFrame) -> DataFrame:
-    """Per source and label: the best score, the tier of the best row, whether it shows expanded, and the rows in rank order."""
+    """Per source and label: the best score, the tier of the best row, whether it shows expanded, and the rows in rank order.
+
+    `group_rank` orders the groups of a source by their best score, then by label. A group holds all rows of its source and
+    label, so `rank` is best capped before, by `top` or `validation.shown`.
+    """
     row = F.struct("rank", "target_uri", "title", "rel_type", "score", "media", "different_author")
     g = rank.groupBy("source_uri", "label").agg(F.max("score").alias("top_score"), F.min_by("tier", "rank").alias("tier"), F.count(F.lit(1)).alias("n_results"), F.array_sort(F.collect_list(row)).alias("results"))
-    return g.withColumn("expanded", F.col("tier") <= 2)
+    order = Window.partitionBy("source_uri").orderBy(F.desc("top_score"), "label")
+    return g.withColumns({"expanded": F.col("tier") <= 2, "group_rank": F.row_number().over(order)})
 
 
 def summary(scored: DataFrame) -> DataFrame:

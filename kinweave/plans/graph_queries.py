@@ -10,7 +10,9 @@ from kinweave.functions import exprs as X
 from kinweave.operators import graph as G
 from kinweave.operators import scoring as S
 from kinweave.plans import graph_sql as Q
-from kinweave.sources import fixture
+from kinweave.plans import related as P
+from kinweave.session import read
+from kinweave.sources import fixture, sinks
 
 _C = Config()
 
@@ -52,7 +54,7 @@ def title_contains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    g = fixture.graph(spark, d)
+    g = fixture.graph(spark, d, keep=True)
     related = G.one_per_target(G.neighbours(G.typed_relations(g)))
     return S.score(related, G.hub_context(g), G.type_frequencies(g)).withColumn("score", F.round("score", 9))
 
@@ -82,7 +84,7 @@ def surprise_score(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_related(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: the ten most surprising related hubs of every hub, with their parts."""
-    t = S.top(_scored(spark, d), 10)
+    t = P.rank_related(fixture.graph(spark, d, keep=True), n=10)
     return t.select("source_uri", "rank", "target_uri", "title", "rel_type", "label", F.round("score", 6).alias("score"), "tier", "different_author")
 
 
@@ -92,7 +94,7 @@ def all_ranked(spark: SparkSession, d: str) -> DataFrame:
 
 def group_by_label(spark: SparkSession, d: str) -> DataFrame:
     g = S.grouped(S.ranked(_scored(spark, d)))
-    return g.select("source_uri", "label", F.round("top_score", 6).alias("top_score"), "tier", "n_results", "expanded", F.array_join(F.transform("results", lambda r: r["target_uri"]), "|").alias("targets"))
+    return g.select("source_uri", "label", F.round("top_score", 6).alias("top_score"), "tier", "n_results", "expanded", "group_rank", F.array_join(F.transform("results", lambda r: r["target_uri"]), "|").alias("targets"))
 
 
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +105,23 @@ def display_rows(spark: SparkSession, d: str) -> DataFrame:
     return S.display(_scored(spark, d))
 
 
+def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of every score as shown."""
+    return _scored(spark, d).select("source_uri", "target_uri", S.breakdown().alias("b")).select("source_uri", "target_uri", "b.*")
+
+
+def ranked_report(spark: SparkSession, d: str) -> DataFrame:
+    """The text lines of every hub's ten best results."""
+    return sinks.report(P.rank_related(fixture.graph(spark, d, keep=True), n=10)).select("source_uri", "rank", "line")
+
+
+def related_of_some(spark: SparkSession, d: str) -> DataFrame:
+    """Related hubs of the hubs of one brand only, by the pruned plan."""
+    some = read(spark, d, "part").filter("p_brand = 'Brand#11'").select(fixture.hub_uri(F.col("p_partkey"), _C).alias("source_uri"))
+    t = P.rank_related(fixture.graph(spark, d, keep=True), some)
+    return t.select("source_uri", "target_uri", "rank", "title", F.round("score", 6).alias("score"))
+
+
 def label_fallback(spark: SparkSession, d: str) -> DataFrame:
     n = neighbours_union(spark, d).select("rel_type").distinct()
     return n.select("rel_type", X.label(F.col("rel_type")).alias("label"))
@@ -121,7 +140,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         neighbours_out, neighbours_in, neighbours_union, neighbours_dedup, rel_type_frequency, hub_degree, hub_context, title_contains, tier_lookup, rarity_bonus, author_distance, medium_crossing,
-        surprise_score, rank_related, all_ranked, group_by_label, score_summary, display_rows, label_fallback, best_connected_hub,
+        surprise_score, rank_related, all_ranked, group_by_label, score_summary, display_rows, score_breakdown, ranked_report, related_of_some, label_fallback, best_connected_hub,
     )
 }
 
@@ -143,10 +162,16 @@ SQL = {
     "rank_related": f"WITH {Q.SCORED} SELECT source_uri, rank, target_uri, title, rel_type, {Q.label('rel_type')} AS label, round(score, 6) AS score, tier, different_author FROM ranked WHERE rank <= 10",
     "all_ranked": f"WITH {Q.SCORED} SELECT source_uri, target_uri, rank, round(score, 6) AS score FROM ranked",
     "group_by_label": f"""WITH {Q.SCORED}, x AS (SELECT *, {Q.label('rel_type')} AS label FROM ranked)
-        SELECT source_uri, label, round(max(score), 6) AS top_score, arg_min(tier, rank) AS tier, count(*) AS n_results, arg_min(tier, rank) <= 2 AS expanded, string_agg(target_uri, '|' ORDER BY rank) AS targets
-        FROM x GROUP BY source_uri, label""",
+        SELECT source_uri, label, round(max(score), 6) AS top_score, arg_min(tier, rank) AS tier, count(*) AS n_results, arg_min(tier, rank) <= 2 AS expanded, string_agg(target_uri, '|' ORDER BY rank) AS targets,
+        row_number() OVER (PARTITION BY source_uri ORDER BY round(max(score), 9) DESC, label) AS group_rank FROM x GROUP BY source_uri, label""",
     "score_summary": f"WITH {Q.SCORED} SELECT source_uri, count(*) AS n_related, count(*) FILTER (score >= 50) AS n_interesting, count(*) FILTER (score < 20) AS n_low FROM scored GROUP BY 1",
-    "display_rows": f"WITH {Q.SCORED} SELECT source_uri, target_uri, coalesce(title, 'Unknown') AS title, array_to_string(media, ', ') AS media, {Q.label('rel_type')} AS label, different_author FROM scored",
+    "display_rows": f"""WITH {Q.SCORED}, {Q.LABEL_TABLE}, b AS (SELECT *, regexp_replace({Q.clean('rel_type')}, '^ns[0-9]+__', '') AS bare FROM scored)
+        SELECT source_uri, target_uri, coalesce(title, 'Unknown') AS title, array_to_string(media, ', ') AS media, coalesce(lbl.label, {Q.made_label('bare')}) AS label, different_author FROM b LEFT JOIN lbl ON lbl.slug = b.bare""",
+    "score_breakdown": f"""WITH {Q.SCORED} SELECT source_uri, target_uri, tier, base, round(rarity_bonus + 1e-9, 1) AS "rarityBonus", author_bonus AS "authorBonus", medium_bonus AS "mediumBonus" FROM scored""",
+    "ranked_report": f"""WITH {Q.SCORED}, {Q.LABEL_TABLE}, b AS (SELECT *, regexp_replace({Q.clean('rel_type')}, '^ns[0-9]+__', '') AS bare FROM ranked WHERE rank <= 10)
+        SELECT source_uri, rank, lpad(rank::VARCHAR, 2, ' ') || '. ' || rpad(coalesce(title, 'Unknown')[1:40], 40, ' ') || ' ' || rpad(coalesce(lbl.label, {Q.made_label('bare')})[1:24], 24, ' ')
+          || ' ' || lpad(printf('%.1f', round(score + 1e-9, 1)), 6, ' ') AS line FROM b LEFT JOIN lbl ON lbl.slug = b.bare""",
+    "related_of_some": f"WITH {Q.SCORED} SELECT source_uri, target_uri, rank, title, round(score, 6) AS score FROM ranked WHERE source_uri IN (SELECT '{Q._H}' || p_partkey FROM part WHERE p_brand = 'Brand#11')",
     "label_fallback": f"WITH {Q.GRAPH}, n AS (SELECT DISTINCT rel_type FROM nb) SELECT rel_type, {Q.label('rel_type')} AS label FROM n",
     "best_connected_hub": f"""WITH {Q.GRAPH}, t AS (SELECT main_titles[1] AS title, g_title.hub_uri, out_rels + in_rels AS rels FROM g_title JOIN deg ON g_title.hub_uri = deg.hub_uri)
         SELECT title, hub_uri, rels FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY rels DESC, hub_uri) AS rn FROM t) WHERE rn = 1""",

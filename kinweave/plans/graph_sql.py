@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kinweave.config import Config
-from kinweave.dims import BASES, LABEL_OF, TIERS
+from kinweave.dims import BASES, LABEL_OF, TIER_OF
 from kinweave.sources.fixture import SLUGS
 
 _C = Config()
@@ -45,7 +45,7 @@ ctx AS (SELECT h.hub_uri, t.title, coalesce(a.agents, []) AS agents, coalesce(m.
   LEFT JOIN (SELECT hub_uri, list_sort(list(DISTINCT agent_uri)) AS agents FROM g_agent GROUP BY 1) a ON h.hub_uri = a.hub_uri
   LEFT JOIN (SELECT hub_uri, list_sort(list(DISTINCT type_uri)) AS media FROM g_type GROUP BY 1) m ON h.hub_uri = m.hub_uri)"""
 
-_TIER = "CASE " + " ".join(f"WHEN {{s}} IN ({', '.join(repr(x) for x in slugs.split())}) THEN {t}" for t, slugs in TIERS.items()) + " ELSE 3 END"
+_TIER = "CASE " + " ".join(f"WHEN {{s}} IN ({', '.join(repr(x) for x, own in TIER_OF.items() if own == t)}) THEN {t}" for t in BASES) + " ELSE 3 END"
 _BASE = "CASE {t} " + " ".join(f"WHEN {t} THEN {float(b)}::DOUBLE" for t, b in BASES.items()) + " END"
 _LABELS = ", ".join(f"('{s}', '{x}')" for s, x in sorted(LABEL_OF.items()))
 
@@ -58,10 +58,17 @@ def clean(s: str) -> str:
     return f"lower(replace({s}, '_INBOUND', ''))"
 
 
+LABEL_TABLE = f"lbl AS (SELECT * FROM (VALUES {_LABELS}) v(slug, label))"
+
+
+def made_label(bare: str) -> str:
+    short = f"regexp_replace({bare}, '(of|for)$', '')"
+    return f"upper({short}[1]) || {short}[2:]"
+
+
 def label(s: str) -> str:
     bare = f"regexp_replace({clean(s)}, '^ns[0-9]+__', '')"
-    short = f"regexp_replace({bare}, '(of|for)$', '')"
-    return f"coalesce((SELECT label FROM (VALUES {_LABELS}) v(slug, label) WHERE slug = {bare}), upper({short}[1]) || {short}[2:])"
+    return f"coalesce((SELECT label FROM (VALUES {_LABELS}) v(slug, label) WHERE slug = {bare}), {made_label(bare)})"
 
 
 def author(s: str, t: str) -> str:

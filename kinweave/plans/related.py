@@ -16,10 +16,22 @@ from kinweave.sources import rdfxml
 
 
 def rank_related(graph: Graph, sources: DataFrame | None = None, n: int | None = None, config: Config = Config()) -> DataFrame:
-    """Related hubs of every hub, or of `sources(source_uri)`, scored and ranked from the graph."""
-    related = G.one_per_target(G.neighbours(G.typed_relations(graph, config), sources))
-    scored = S.score(related, G.hub_context(graph), frequencies(graph, config), config)
-    return S.ranked(scored) if n is None else S.top(scored, n)
+    """Related hubs of every hub, or of `sources(source_uri)`, scored and ranked from the graph.
+
+    With `sources`, relations and contexts are restricted to what they touch before anything else. Titles are joined to the
+    ranked rows only, and equal scores, to nine decimals, are ranked by target.
+    """
+    related = G.one_per_target(G.neighbours(G.typed_relations(graph, config, sources), sources))
+    wanted = None
+    if sources is not None:
+        ends = F.explode(F.array("source_uri", "target_uri")).alias("hub_uri")
+        wanted = related.select(ends).distinct()
+    context = G.hub_context(graph, wanted)
+    scored = S.score(related, context.withColumn("title", F.lit(None).cast("string")), frequencies(graph, config), config)
+    scored = scored.withColumn("score", F.round("score", 9)).drop("title", "source_title", "target_title")
+    ranked = S.ranked(scored) if n is None else S.top(scored, n)
+    titles = context.select(F.col("hub_uri").alias("target_uri"), "title")
+    return ranked.join(titles, "target_uri", "left")
 
 
 def frequencies(graph: Graph, config: Config = Config()) -> DataFrame:
@@ -31,7 +43,8 @@ def rank_from_rdf(parsed: DataFrame, graph: Graph, config: Config = Config()) ->
     rel = rdfxml.dedup_relations(rdfxml.relations(parsed)).withColumn("is_inbound", F.lit(False))
     none = F.array().cast("array<string>")
     own = parsed.select(F.col("uri").alias("hub_uri"), "title", F.coalesce("agents", none).alias("agents"), F.coalesce("media", none).alias("media"))
-    scored = S.score(rel, G.hub_context(graph), frequencies(graph, config), config, source_context=own)
+    context = G.hub_context(graph, rel.select(F.col("target_uri").alias("hub_uri")).distinct())
+    scored = S.score(rel, context, frequencies(graph, config), config, source_context=own)
     titles = rdfxml.relations(parsed).groupBy("source_uri", "target_uri").agg(F.min_by("title", "seq").alias("rdf_title"))
     return S.ranked(scored.join(titles, ["source_uri", "target_uri"], "left").withColumn("title", F.coalesce("rdf_title", "title")).drop("rdf_title"))
 
@@ -42,22 +55,46 @@ def first_candidate(candidates: DataFrame) -> DataFrame:
     return candidates.join(best.withColumnRenamed("id", "b_id"), (F.col("id") == F.col("b_id")) & (F.col("priority") == F.col("best"))).drop("b_id", "best")
 
 
+def primaries(best: DataFrame, records: DataFrame, graph: Graph, rdf_titles: DataFrame | None = None, valid: DataFrame | None = None) -> DataFrame:
+    """`id, primary_uri, hub_title` of each record with results; see `related_works`."""
+    own = F.col("title") if "title" in records.columns else F.lit(None).cast("string")
+    heads = best.select("id", "source_uri", "source").distinct().join(records.select("id", own.alias("own_title")).distinct(), "id")
+    graph_titles = graph.title.groupBy("hub_uri").agg(F.min(F.get("main_titles", F.lit(0))).alias("graph_title"))
+    heads = heads.join(graph_titles.withColumnRenamed("hub_uri", "source_uri"), "source_uri", "left")
+    if rdf_titles is not None:
+        heads = heads.join(rdf_titles.groupBy("source_uri").agg(F.first("rdf_title").alias("rdf_title")), "source_uri", "left")
+    else:
+        heads = heads.withColumn("rdf_title", F.lit(None).cast("string"))
+    title = F.coalesce(F.when(F.col("source") == "rdf", F.col("rdf_title")), "own_title", "graph_title")
+    heads = heads.groupBy("id").agg(F.first("source_uri").alias("hub_uri"), F.first(title).alias("hub_title"))
+    heads = heads if valid is None else V.valid_primary(heads, valid)
+    return heads.select("id", F.col("hub_uri").alias("primary_uri"), "hub_title")
+
+
+def new_negatives(payloads: DataFrame, as_of: Column, config: Config = Config()) -> DataFrame:
+    """`uri, checked_at` to append to the negative log: hubs that were served readable RDF without relations; no failed reads."""
+    return V.found_empty(rdfxml.parse(rdfxml.usable(payloads), config), as_of)
+
+
 def related_works(records: DataFrame, graph: Graph, payloads: DataFrame | None = None, negative: DataFrame | None = None, log: DataFrame | None = None, as_of: Column | None = None, config: Config = Config()) -> DataFrame:
     """Related works of resolved records `id, hub_uri, suggested_uri, base_uri`.
 
     A record's own hub is tried by its RDF first, then the suggested hub's RDF, the base work's RDF, and at last the graph
-    for the suggested and for the own hub; the first that has results wins. `source` tells which. With a log of checks only
-    valid results are shown, and the number of results is capped.
+    for the suggested and for the own hub; the first that has results wins. `source` tells which. `primary_uri` is that hub,
+    and `hub_title` its title: the one its RDF states if that was used, else the record's own `title`, if `records` has that
+    column, else the graph's. With a log of checks only valid results are shown, their number is capped, and a primary hub
+    that is not valid is null while its results stay.
     """
     as_of = F.current_timestamp() if as_of is None else as_of
     wanted = records.select("id", F.posexplode(F.array("hub_uri", "suggested_uri", "base_uri")).alias("k", "source_uri")).filter("source_uri <> ''")
-    parts = []
+    parts, rdf_titles = [], None
     if payloads is not None:
         body = rdfxml.usable(payloads)
         if negative is not None:
             body = V.skip_known_empty(body, negative, as_of, config.empty_rdf_ttl)
         body = body.join(wanted.select(F.col("source_uri").alias("hub_uri")).distinct(), "hub_uri", "left_semi")
-        rdf = rank_from_rdf(rdfxml.parse(body, config), graph, config)
+        parsed = rdfxml.parse(body, config)
+        rdf, rdf_titles = rank_from_rdf(parsed, graph, config), parsed.select(F.col("uri").alias("source_uri"), F.col("title").alias("rdf_title"))
         parts.append((wanted.select("id", F.col("k").alias("priority"), "source_uri"), rdf, "rdf"))
     order = F.when(F.col("k") == 1, 3).when(F.col("k") == 0, 4)
     from_graph = wanted.filter("k < 2").select("id", order.alias("priority"), "source_uri")
@@ -65,6 +102,7 @@ def related_works(records: DataFrame, graph: Graph, payloads: DataFrame | None =
     columns = ["source_uri", "target_uri", "title", "rel_type", "label", "tier", "score", "rank", "media", "different_author"]
     every = reduce(DataFrame.unionByName, [w.join(r.select(*columns), "source_uri").withColumn("source", F.lit(s)) for w, r, s in parts])
     best = first_candidate(every)
+    best = best.join(primaries(best, records, graph, rdf_titles, None if log is None or not config.validate_uris else V.valid_uris(log, as_of, config.validation_ttl)), "id")
     if log is None:
         return best.withColumn("shown_rank", F.col("rank"))
     # Two records may share a hub, so results are shown per record.

@@ -74,8 +74,8 @@ def _titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    """`hub_uri, label, author, title`: access points of the parts with the suppliers of their first order lines."""
-    li = read(spark, d, "lineitem").filter("l_linenumber = 1").select("l_partkey", "l_suppkey").distinct()
+    """`hub_uri, label, author, title`: access points of the parts with the suppliers of all their order lines."""
+    li = read(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     p, s = read(spark, d, "part"), read(spark, d, "supplier")
     j = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
     tail = F.element_at(F.array(*map(F.lit, ("", ". Russian", ". Selections", " (Motion picture)", ". Act 2"))), F.col("p_size") % 5 + 1)
@@ -286,7 +286,7 @@ def _legacy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = fixture.edges(spark, d)
     kinds = F.element_at(F.array(*map(F.lit, L.DIRECT_TIERS)), F.col("l_linenumber") % 3 + 1)
     a, b = fixture.hub_uri(F.col("l_partkey"), _C).alias("source_uri"), fixture.hub_uri(F.col("b_part"), _C).alias("target_uri")
-    edges = e.filter("l_suppkey % 3 = 0").select(a, kinds.alias("edge_type"), b).distinct()
+    edges = e.select(a, kinds.alias("edge_type"), b).distinct()
     g = fixture.graph(spark, d)
     typed = g.relation.join(g.relation_type, "relation_id").join(g.hub, F.col("target_uri") == F.col("hub_uri"), "left_semi").select("source_uri", "type_uri", "target_uri").distinct()
     return edges, typed
@@ -323,7 +323,7 @@ _TITLES = """titles AS (SELECT p_partkey, p_name, p_size, CASE p_size % 3 WHEN 0
 _ART = "regexp_replace(trim({t}), '(?i)^(the|a|an)\\s+', '')"
 _LABELS = f"""lab AS (SELECT '{_H}' || p_partkey AS hub_uri, s_name AS author, upper(p_name[1]) || p_name[2:] AS title, p_size,
   s_name || '. ' || upper(p_name[1]) || p_name[2:] || (['', '. Russian', '. Selections', ' (Motion picture)', '. Act 2'])[p_size % 5 + 1] AS label
-  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1) JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
+  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
 def _base(s: str) -> str:
@@ -350,7 +350,7 @@ _PL = f"""pl AS (SELECT r.source_uri, r.target_uri, r.relation_id, coalesce(t.ty
   ELSE 'relatedwork' END AS rel_type FROM g_relation r LEFT JOIN g_relation_type t ON r.relation_id = t.relation_id WHERE r.target_uri LIKE '%/resources/hubs/%')"""
 _RDF = f"{Q.GRAPH}, {_PL}"
 _RDF_ONE = f"WITH {_RDF} SELECT source_uri, target_uri, rel_type FROM (SELECT *, row_number() OVER (PARTITION BY source_uri, target_uri ORDER BY rel_type = 'relatedwork', relation_id, type_uri) AS rn FROM pl) WHERE rn = 1"
-_LEGACY = f"""{Q.GRAPH}, de AS (SELECT DISTINCT '{_H}' || l_partkey AS source_uri, (['ns0__translationOf', 'ns0__relatedTo', 'ns0__arrangementOf'])[l_linenumber % 3 + 1] AS edge_type, '{_H}' || b_part AS target_uri FROM e WHERE l_suppkey % 3 = 0),
+_LEGACY = f"""{Q.GRAPH}, de AS (SELECT DISTINCT '{_H}' || l_partkey AS source_uri, (['ns0__translationOf', 'ns0__relatedTo', 'ns0__arrangementOf'])[l_linenumber % 3 + 1] AS edge_type, '{_H}' || b_part AS target_uri FROM e),
 ty AS (SELECT DISTINCT source_uri, replace(type_uri, '{_ENT}', '') AS t, target_uri FROM g_relation JOIN g_relation_type USING (relation_id) WHERE target_uri IN (SELECT hub_uri FROM g_hub) AND NOT starts_with(type_uri, 'bnode')),
 ln AS (SELECT source_uri, target_uri, edge_type AS rel_type, true AS is_direct, 0 AS seq FROM de
   UNION ALL SELECT target_uri, source_uri, edge_type || '_INBOUND', true, 1 FROM de WHERE edge_type <> 'ns0__relatedTo'

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,18 +45,29 @@ def python_path(spark: SparkSession) -> None:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint in the folder named by `spark.checkpoint.dir`.
 
-    Only where the session names none is a folder of our own set, which is the case in tests.
+    Only a session in a single process, as in tests, may name none: it gets a temporary folder. On a cluster that raises, as
+    executors do not share the driver's disk.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/kinweave-checkpoint")
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinweave-"))
     return df.checkpoint(eager=True)
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; filters and joins are estimated from their inputs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of a plan, from its cost-mode explanation; filters and joins are estimated from their inputs.
+
+    A plan without an estimate counts as too large for anything.
+    """
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain(mode="cost")
+    m = re.search(r"sizeInBytes=([\d.]+(?:E[+-]?\d+)?) ?([KMGTPE]i)?B", text.getvalue())
+    return int(float(m[1]) * 1024 ** (" KMGTPE".index(m[2][0]) if m[2] else 0)) if m else 1 << 62
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.config import Config
 from kinweave.model import Graph
-from kinweave.session import read
+from kinweave.session import checkpoint, read
 
 # Relation types in the order in which the projection numbers them.
 SLUGS = """translationof relatedwork partof inseries containerof translatedas relatedto sequel basedon adaptedas continuedby revisionof abridgedas supplementto
@@ -29,7 +29,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def graph(spark: SparkSession, d: str, config: Config = Config()) -> Graph:
+def graph(spark: SparkSession, d: str, config: Config = Config(), keep: bool = False) -> Graph:
+    """The projection; with `keep` its relations are written once, for plans that read them more than once."""
     part = read(spark, d, "part")
     uri = hub_uri(F.col("p_partkey"), config)
     hub = part.select(uri.alias("hub_uri"))
@@ -48,14 +49,14 @@ def graph(spark: SparkSession, d: str, config: Config = Config()) -> Graph:
 
     e = edges(spark, d)
     target = F.when(F.col("l_orderkey") % 41 == 0, F.concat(F.lit(f"http://{config.host}/resources/works/"), "b_part")).otherwise(hub_uri(F.col("b_part"), config))
-    # The identifier determines both ends, so grouping by it alone is a distinct whose partitioning later joins use.
-    ends = e.select("relation_id", hub_uri(F.col("l_partkey"), config).alias("source_uri"), target.alias("target_uri"))
-    relation = ends.groupBy("relation_id").agg(F.first("source_uri").alias("source_uri"), F.first("target_uri").alias("target_uri"))
     vocabulary, entities = config.relationship_prefixes
     slug = F.element_at(F.array(*map(F.lit, SLUGS)), (F.floor(F.col("l_quantity") * F.col("l_quantity") / 108) + 1).cast("int"))
     typed = F.concat(F.when(F.col("l_linestatus") == "O", vocabulary).otherwise(entities), slug)
     first = F.when((F.col("l_returnflag") == "N") & (F.col("l_suppkey") % 20 == 3), F.concat(F.lit("bnode://"), "relation_id")).otherwise(typed)
     second = F.when(F.col("l_quantity") % 9 == 0, F.lit(f"{vocabulary}relatedwork"))
-    types = e.filter("l_suppkey % 17 <> 0").select("relation_id", F.array_compact(F.array(first, second)).alias("t"))
-    types = types.groupBy("relation_id").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("t")).select("relation_id", F.explode("t").alias("type_uri"))
-    return Graph(hub, title, agent, kind, identifier, relation, types)
+    own = F.when(F.col("l_suppkey") % 17 != 0, F.array_compact(F.array(first, second)))
+    # The identifier determines both ends, so grouping by it alone is a distinct, and ends and types come from one pass.
+    ends = e.select("relation_id", hub_uri(F.col("l_partkey"), config).alias("source_uri"), target.alias("target_uri"), own.alias("t"))
+    both = ends.groupBy("relation_id").agg(F.first("source_uri").alias("source_uri"), F.first("target_uri").alias("target_uri"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
+    both = checkpoint(both) if keep else both
+    return Graph(hub, title, agent, kind, identifier, both.select("relation_id", "source_uri", "target_uri"), both.select("relation_id", F.explode("t").alias("type_uri")))

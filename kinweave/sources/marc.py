@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.functions import exprs as X
 from kinweave.model import MARC
-from kinweave.operators.resolve import first_value, subfields
+from kinweave.operators.resolve import subfields
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -31,8 +30,9 @@ def _raw(marc: Column, tag: str, code: str) -> Column:
 
 
 def index_document(records: DataFrame, prefix: str) -> DataFrame:
-    """One index document per record with an identifier; fields without a value are null.
+    """One index document per record `marc` with an identifier; fields without a value are null.
 
+    `fullrecord` is the stored record: the column `xml` where there is one, else the record written as XML again.
     The date is the first four digits of 264 $c, or of 260 $c only where there is no 264 $c.
     """
     m = F.col("marc")
@@ -46,11 +46,12 @@ def index_document(records: DataFrame, prefix: str) -> DataFrame:
     language = F.trim(F.when(F.length(fixed) >= 38, F.substring(fixed, 36, 3)))
     date = F.regexp_extract(F.coalesce(F.nullif(_raw(m, "264", "c"), empty), _raw(m, "260", "c")), r"(\d{4})", 1)
     one = lambda c: F.when(c != "", F.array(c))
-    docs = records.select(number.alias("number"), F.when(title != "", title).otherwise(F.lit("[Untitled]")).alias("title"), F.nullif(author, empty).alias("author"), one(language).alias("language"), one(date).alias("publishDate"))
+    xml = F.col("xml") if "xml" in records.columns else F.to_xml(m, {"rowTag": "record"})
+    docs = records.select(number.alias("number"), xml.alias("fullrecord"), F.when(title != "", title).otherwise(F.lit("[Untitled]")).alias("title"), F.nullif(author, empty).alias("author"), one(language).alias("language"), one(date).alias("publishDate"))
     docs = docs.filter("number <> ''")
     return docs.select(
         F.concat(F.lit(f"{prefix}-"), "number").alias("id"), "title", F.col("title").alias("title_short"), F.col("title").alias("title_full"), F.lower("title").alias("title_sort"), F.col("title").alias("title_auth"),
-        "author", F.col("author").alias("author_sort"), F.array(F.lit("Book")).alias("format"), F.lit("marc").alias("record_format"), "language", "publishDate",
+        "author", F.col("author").alias("author_sort"), F.array(F.lit("Book")).alias("format"), F.lit("marc").alias("record_format"), "language", "publishDate", "fullrecord",
     )
 
 
@@ -65,9 +66,10 @@ def not_loaded(documents: DataFrame, index: DataFrame) -> DataFrame:
     return documents.join(index.select("id"), "id", "left_anti")
 
 
-def count_by_prefix(index: DataFrame, prefix: str) -> DataFrame:
-    return index.filter(F.col("id").startswith(f"{prefix}-")).agg(F.count(F.lit(1)).alias("n_records"))
+def seed(documents: DataFrame, index: DataFrame) -> DataFrame:
+    """The documents to load into an index that is empty, else none."""
+    return documents.join(index.select("id").limit(1), F.lit(True), "left_anti")
 
 
-def lccn_of(marc: Column) -> Column:
-    return X.trim_punctuation(first_value(marc, "010", "a"))
+def count_by_prefix(index: DataFrame, prefix: str) -> DataFrame:
+    return index.filter(F.col("id").startswith(f"{prefix}-")).agg(F.count(F.lit(1)).alias("n_records"))

@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,11 @@ def write_bucketed(df: DataFrame, table: str, key: str = "hub_uri", buckets: int
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
-def post_batches(documents: DataFrame, post: Callable[[str], int], size: int = 50) -> None:
-    """Posts JSON arrays of up to `size` documents; a status of 300 or more fails the task. `post` returns the status."""
+def post_batches(documents: DataFrame, post: Callable[[str], int], size: int = 50, commit: Callable[[], int] | None = None) -> None:
+    """Posts JSON arrays of up to `size` documents; a status of 300 or more fails the task. `post` returns the status.
+
+    `commit` is called once, on the driver, after all batches of all tasks were posted, and never if one failed.
+    """
 
     def send(rows: Iterator) -> None:
         rows = iter(rows)
@@ -33,6 +37,8 @@ def post_batches(documents: DataFrame, post: Callable[[str], int], size: int = 5
                 raise RuntimeError(f"the index answered {status}")
 
     documents.foreachPartition(send)
+    if commit and (status := commit()) >= 300:
+        raise RuntimeError(f"the index answered {status} to the commit")
 
 
 def append_log(entries: DataFrame, path: str) -> None:
@@ -47,17 +53,24 @@ def read_log(spark: SparkSession, path: str, as_of: Column, ttl_seconds: int) ->
 
 def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], ttl_seconds: int) -> DataFrame:
     """A materialised table, built again when it is missing or older than its time to live; such as the type frequencies."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jpath) or time.time() - fs.getFileStatus(jpath).getModificationTime() / 1000 >= ttl_seconds:
+    try:
+        newest = spark.read.format("binaryFile").load(path).agg(F.max("modificationTime").cast("double").alias("at")).first()["at"]
+    except AnalysisException:  # no such folder
+        newest = None
+    if newest is None or time.time() - newest >= ttl_seconds:
         write_table(build(), path)
     return spark.read.parquet(path)
 
 
 def decode_rows(answer: Column, columns: list[str]) -> Column:
-    """Rows of a graph server's JSON answer `{results: [{columns, data: [{row: [...]}]}]}` as structs of texts."""
+    """Rows of a graph server's JSON answer `{results: [{columns, data: [{row: [...]}]}]}` as structs of texts.
+
+    An answer that is empty, is no JSON or names errors fails the query with the first error's message.
+    """
     parsed = F.from_json(answer, "results array<struct<columns array<string>, data array<struct<row array<string>>>>>, errors array<struct<code string, message string>>")
-    data = F.coalesce(F.get(parsed["results"], F.lit(0))["data"], F.array())
+    first = F.get(parsed["errors"], F.lit(0))
+    wrong = F.when(F.coalesce(answer, F.lit("")) == "", F.lit("empty answer")).when(parsed["results"].isNull() & first.isNull(), F.lit("no answer of a graph server")).when(first.isNotNull(), F.concat_ws(": ", first["code"], first["message"]))
+    data = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("array<struct<row array<string>>>")).otherwise(F.coalesce(F.get(parsed["results"], F.lit(0))["data"], F.array()))
     names = F.get(parsed["results"], F.lit(0))["columns"]
     # Columns are told by name, whatever order the server gives them in.
     return F.transform(data, lambda x: F.struct(*[F.get(x["row"], F.array_position(names, c).cast("int") - 1).alias(c) for c in columns]))

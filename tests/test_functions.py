@@ -21,9 +21,9 @@ def values(spark, expr, *rows, schema="x string"):
 
 
 def test_dimensions_are_complete_and_disjoint():
-    assert len(dims.TIER_OF) == sum(len(s.split()) for s in dims.TIERS.values()) == 119
+    assert len(dims.TIER_OF) == len(dims.RELATION_TYPES) == 119
     assert len(dims.LABEL_OF) == 62
-    assert len(dims.INLINE_TYPE) == 37
+    assert len(dims.INLINE_TYPE) == len(dims.INLINE_LABELS) == 37
 
 
 def test_bare_slug(spark):
