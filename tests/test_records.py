@@ -196,13 +196,60 @@ def test_turtle_and_ntriples(spark, tmp_path):
     _:r1 bf:relationship <http://v/bad uri> .
     _:r1 bf:associatedResource :h2 ; bf:n 4.5 . :h2 a bf:Hub ."""
     (tmp_path / "a.ttl").write_text(ttl)
-    got = {(r["s"], r["p"], r["o"]) for r in triples.read_turtle(spark, str(tmp_path / "a.ttl")).collect()}
-    assert ("http://e/h1", f"{bf}relation", "bnode://r1") in got and ("bnode://r1", f"{bf}associatedResource", "http://e/h2") in got
-    assert ("bnode://genid1", f"{bf}mainTitle", 'A "b"') in got and ("bnode://r1", f"{bf}n", "4.5") in got
+    for end in (" .\n", None):
+        got = [(r["s"], r["p"], r["o"]) for r in triples.read_turtle(spark, str(tmp_path / "a.ttl"), end).collect()]
+        by = {(p, o): s for s, p, o in got}
+        r1 = next(o for s, p, o in got if p == f"{bf}relation")
+        assert r1.startswith("bnode://") and r1.endswith("r1") and by[f"{bf}associatedResource", "http://e/h2"] == r1 == by[f"{bf}n", "4.5"]
+        assert by[f"{bf}mainTitle", 'A "b"'] == by[f"{bf}mainTitle", "C"] == next(o for s, p, o in got if p == f"{bf}title")
+        assert sum(p == triples.RDF_TYPE for _, p, _ in got) == 3
     nt = f'<http://e/h1> <{triples.RDF_TYPE}> <{bf}Hub> .\n<http://e/h2> <{triples.RDF_TYPE}> <{bf}Hub> .\n<http://e/h1> <{bf}relation> _:r .\n_:r <{bf}associatedResource> <http://e/h2> .\n<http://e/h1> <{bf}title> _:t .\n_:t <{bf}mainTitle> "T \\"x\\""@en .\nbroken\n<http://e/h3> <{bf}note> <bad uri> .\n'
     (tmp_path / "a.nt").write_text(nt)
     df = triples.read_ntriples(spark, str(tmp_path / "a.nt"))
     assert df.count() == 7
     g = triples.to_graph(df)
-    assert [tuple(r) for r in g.relation.collect()] == [("bnode://r", "http://e/h1", "http://e/h2")] and g.hub.count() == 2
+    rel = g.relation.collect()
+    assert [tuple(r)[1:] for r in rel] == [("http://e/h1", "http://e/h2")] and rel[0][0].startswith("bnode://") and g.hub.count() == 2
     assert g.title.first()["main_titles"] == ['T "x"']
+
+
+def test_blank_nodes_of_two_files_differ(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.ttl").write_text("@prefix e: <http://e/> .\n<http://e/%s> e:p [ e:q 1 ] .\n<http://e/%s> e:r _:x .\n_:x e:s 2 .\n" % (name, name))
+        (tmp_path / f"{name}.nt").write_text(f"<http://e/{name}> <http://e/r> _:x .\n_:x <http://e/s> \"2\" .\n")
+    for df in (triples.read_turtle(spark, str(tmp_path / "*.ttl")), triples.read_turtle(spark, str(tmp_path / "*.ttl"), None)):
+        got = df.collect()
+        assert len({r["o"] for r in got if r["p"] in ("http://e/p", "http://e/r")}) == 4
+        assert {r["s"] for r in got if r["p"] == "http://e/s"} == {r["o"] for r in got if r["p"] == "http://e/r"}
+        assert {r["s"] for r in got if r["p"] == "http://e/q"} == {r["o"] for r in got if r["p"] == "http://e/p"}
+    assert len({r["s"] for r in triples.read_ntriples(spark, str(tmp_path / "*.nt")).filter("p = 'http://e/s'").collect()}) == 2
+
+
+def test_a_large_file_is_split(spark, tmp_path):
+    body = "".join(f"<http://e/{k}> e:n {k} ;\n  e:t \"T{k}.\" .\n" for k in range(4000))
+    (tmp_path / "big.ttl").write_text(f"@prefix e: <http://e/> .\n{body}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = triples.read_turtle(spark, str(tmp_path / "big.ttl"))
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 8000
+        assert {tuple(r)[:3] for r in df.collect()} == {x for k in range(4000) for x in ((f"http://e/{k}", "http://e/n", str(k)), (f"http://e/{k}", "http://e/t", f"T{k}."))}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_escapes_are_undone_once(spark, tmp_path):
+    written = r"a\\tb \t \u00e9 \U0001F600 \" \\\\ \\u0041"
+    want = "a\\tb \t é 😀 \" \\\\ \\u0041"
+    (tmp_path / "e.nt").write_text(f'<http://e/s> <http://e/p> "{written}" .\n', encoding="utf-8")
+    (tmp_path / "e.ttl").write_text(f'<http://e/s> <http://e/p> "{written}" .\n', encoding="utf-8")
+    assert triples.read_ntriples(spark, str(tmp_path / "e.nt")).first()["o"] == want
+    assert triples.read_turtle(spark, str(tmp_path / "e.ttl")).first()["o"] == want
+
+
+def test_collections_and_long_strings():
+    got = list(triples.turtle("@prefix e: <http://e/> . e:s e:p (1 e:o) , () ; e:q '''it's\n. long''' ."))
+    nodes = [t[0] for t in got if t[1] == triples.RDF_FIRST]
+    assert [t[2] for t in got if t[1] == triples.RDF_FIRST] == ["1", "http://e/o"] and len(set(nodes)) == 2
+    assert ("http://e/s", "http://e/p", triples.RDF_NIL, True, None) in got and ("http://e/s", "http://e/q", "it's\n. long", False, None) in got
+    assert ("http://e/s", "http://e/p", nodes[0], True, None) in got and (nodes[1], triples.RDF_REST, triples.RDF_NIL, True, None) in got
