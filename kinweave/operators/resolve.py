@@ -198,9 +198,12 @@ def suggest_search(queries: DataFrame, hits: DataFrame, count: int = 20, left_an
     h = hits.select("uri", "aLabel").distinct()
     asked = queries.select("query").filter("query <> ''").distinct()
     if left_anchored:
-        # An equi-join on the first word keeps this off a nested loop.
-        first = lambda c: F.regexp_extract(F.lower(c), r"[\p{L}\p{N}]+", 0)
-        met = asked.withColumn("w", first(F.col("query"))).join(h.withColumn("w", first(F.col("aLabel"))), "w").filter(F.startswith(F.lower("aLabel"), F.lower("query")))
+        # An equi-join on the beginnings of the labels, of every length that a query has; however many labels begin alike, a
+        # query meets only its own.
+        asked = asked.withColumn("low", F.lower("query"))
+        lengths = asked.agg(F.collect_set(F.length("low"))).scalar()
+        low = h.withColumn("low", F.lower("aLabel")).withColumn("n", F.explode(lengths)).filter(F.length("low") >= F.col("n"))
+        met = asked.join(low.select("uri", "aLabel", F.substr("low", F.lit(1), F.col("n")).alias("low")), "low").drop("low")
     else:
         split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
         q, t = asked.withColumn("words", split(F.col("query"))), h.withColumn("held", split(F.col("aLabel")))

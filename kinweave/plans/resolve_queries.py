@@ -261,6 +261,81 @@ def rdf_parsed(spark: SparkSession, d: str) -> DataFrame:
     return rdfxml.relations(rdfxml.parse(_payloads(spark, d))).select("source_uri", "target_uri", "rel_type")
 
 
+def _stated(spark: SparkSession, d: str) -> DataFrame:
+    """A payload per part with titles, agents, media, labelled and direct relations; some are pages, missing, empty or broken."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    hub = lambda n: fixture.hub_uri(key + n, _C)
+    text = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    title = lambda c: text("<bf:title><bf:Title><bf:mainTitle> ", c, "</bf:mainTitle></bf:Title></bf:title>")
+    agent = lambda c: text('<bf:contribution><bf:Contribution><bf:agent><bf:Agent rdf:about="', c, '"/></bf:agent></bf:Contribution></bf:contribution>')
+    kind = (
+        F.when(size % 5 == 0, text(f'<bf:Relationship rdf:about="{_ENT}Sequel"><rdfs:label>Based on (work)</rdfs:label></bf:Relationship>')).when(size % 5 == 1, text("<bf:Relationship><rdfs:label>Based on (work)</rdfs:label></bf:Relationship>"))
+        .when(size % 5 == 2, text("<bf:Relationship><rdfs:label>Retold in (expression)</rdfs:label></bf:Relationship>")).when(size % 5 == 3, text(f'<bf:Relationship rdf:about="{_VOC}partof"><rdfs:label>related work</rdfs:label></bf:Relationship>'))
+        .otherwise(F.lit(""))
+    )
+    held = F.when(size % 2 == 0, title(F.col("p_brand"))).otherwise(F.lit(""))
+    relation = text('<bf:relation><bf:Relation><bf:relationship>', kind, '</bf:relationship><bf:associatedResource><bf:Hub rdf:about="', hub(1), '">', held, "</bf:Hub></bf:associatedResource></bf:Relation></bf:relation>")
+    direct = F.when(size % 3 == 0, text(f'<bf:translationOf rdf:resource="http://{_C.host}/resources/works/', key.cast("string"), '"/>')).when(size % 3 == 1, text('<bf:relatedTo><bf:Hub rdf:about="', hub(2), '"/></bf:relatedTo>')).otherwise(F.lit(""))
+    inner = text(
+        title(F.col("p_name")), f'<rdf:type rdf:resource="{_C.ontology}', F.col("p_type"), f'"/><rdf:type rdf:resource="{_C.ontology}', F.col("p_type"), '"/>', F.when(size % 7 != 0, text(agent(F.col("p_brand")), agent(F.col("p_brand")))).otherwise(F.lit("")),
+        F.when(size % 11 != 0, text(relation, direct)).otherwise(F.lit("")),
+    )
+    body = text(f'<rdf:RDF xmlns:rdf="{rdfxml.RDF}" xmlns:rdfs="{rdfxml.RDFS}" xmlns:bf="{_C.ontology}"><bf:Work rdf:about="', hub(0), '">', inner, "</bf:Work></rdf:RDF>")
+    body = F.when(size % 13 == 3, "").when(size % 13 == 4, F.concat(F.lit(" <!DOCTYPE html>"), body)).when(size % 13 == 5, F.substring(body, 1, 200)).otherwise(body)
+    return read(spark, d, "part").select(
+        hub(0).alias("hub_uri"), F.when(size % 13 == 1, 404).otherwise(200).alias("http_status"), F.when(size % 13 == 2, "Text/HTML; charset=utf-8").when(size % 13 != 6, "application/rdf+xml").alias("content_type"), body.alias("body")
+    )
+
+
+def rdf_stated(spark: SparkSession, d: str) -> DataFrame:
+    """Relations by label, by address and direct ones, with their titles, of payloads of every kind."""
+    return rdfxml.relations(rdfxml.parse(rdfxml.usable(_stated(spark, d)))).select("source_uri", "target_uri", "rel_type", "title", "is_direct")
+
+
+def rdf_hubs(spark: SparkSession, d: str) -> DataFrame:
+    """What the same payloads say of their hubs."""
+    p = rdfxml.parse(rdfxml.usable(_stated(spark, d)))
+    return p.select("uri", "title", F.array_join("agents", "|").alias("agents"), F.array_join("media", "|").alias("media"), F.size("relations").alias("n_relations"))
+
+
+def new_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Hubs whose RDF was read and holds no relation; failed reads are not among them."""
+    return P.new_negatives(_stated(spark, d), F.lit("2024-01-01").cast("timestamp")).select("uri")
+
+
+def related_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The pipeline over records with an own, a suggested and a base hub and known empty RDF: which source won, the primary hub
+    if it is valid, its title, and the titles of the results."""
+    p = read(spark, d, "part")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    hub = lambda n: fixture.hub_uri(key + n, _C)
+    records = p.select(key.alias("id"), F.when(size % 2 == 0, hub(0)).alias("hub_uri"), F.when(size % 4 < 2, hub(1)).alias("suggested_uri"), F.when(size % 3 == 0, hub(2)).alias("base_uri"), F.when(size % 5 != 0, F.col("p_brand")).alias("title"))
+    negative = p.filter("p_size % 4 = 0").select(hub(0).alias("uri"), F.lit("2024-01-01").cast("timestamp").alias("checked_at"))
+    log = p.select(F.explode(F.array(hub(0), hub(1))).alias("uri"), F.lit(True).alias("valid"), F.lit("2024-01-01").cast("timestamp").alias("checked_at"), (key % 3 != 0).alias("ok")).filter("ok").drop("ok")
+    r = P.related_works(records, fixture.graph(spark, d, keep=True), _stated(spark, d), negative, log, F.lit("2024-01-01 01:00:00").cast("timestamp"))
+    return r.select("id", "source", "primary_uri", "hub_title", "target_uri", "title", "rel_type", "shown_rank")
+
+
+def label_details(spark: SparkSession, d: str) -> DataFrame:
+    """The label endpoint: the hub of each exact label, with the label of the first hit of a search for it."""
+    lab = _labels(spark, d).select("label", "hub_uri").distinct()
+    hits = lab.select(F.col("hub_uri").alias("uri"), F.col("label").alias("aLabel"))
+    wanted = lab.select(F.col("label").alias("id"), "label").distinct()
+    return R.label_hits(wanted, lab, lambda q: R.suggest_search(q, hits, 1, left_anchored=True)).select(F.col("id").alias("label"), "uri", "aLabel", "token")
+
+
+def legacy_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best connected hubs with a word in their titles."""
+    return L.candidates(fixture.graph(spark, d).title, _legacy(spark, d)[0], "RED")
+
+
+def marc_fullrecord(spark: SparkSession, d: str) -> DataFrame:
+    """Index documents hold the stored record: what is read from it again."""
+    rows = read(spark, d, "part").select(_marc_xml().alias("xml")).select("xml", marc.from_column(F.col("xml")).alias("marc"))
+    again = marc.from_column(F.col("fullrecord"))
+    return marc.index_document(rows, "show").select("id", R.first_value(again, "245", "a").alias("title_proper"), marc.control(again, "001").alias("number"))
+
+
 def fallback_priority(spark: SparkSession, d: str) -> DataFrame:
     """The first source of relations that has any: specific ones before all."""
     rel = G.typed_relations(fixture.graph(spark, d))
@@ -311,7 +386,7 @@ QUERIES = {
     for f in (
         validation_latest, needs_check_anti, validated_semi, validate_window_cap, negative_cache_skip, validation_urls, strip_article, trim_punct, access_point, base_label, percent_encode, title_bm25, hub_by_title,
         lccn_lookup, resolve_cascade, label_strategy, base_work, verify_lccn, marc_index_doc, marc_totals, marc_not_loaded, marc_fields, marc_758, self_hub_pick, rdf_relations, rdf_dedup, rdf_parsed, fallback_priority,
-        related_works, legacy_neighbours, legacy_score, legacy_degree,
+        related_works, legacy_neighbours, legacy_score, legacy_degree, rdf_stated, rdf_hubs, new_negatives, related_titles, label_details, legacy_candidates, marc_fullrecord,
     )
 }
 
@@ -357,7 +432,35 @@ ln AS (SELECT source_uri, target_uri, edge_type AS rel_type, true AS is_direct,
   UNION ALL SELECT source_uri, target_uri, t, false, 2 FROM ty UNION ALL SELECT target_uri, source_uri, t || '_INBOUND', false, 3 FROM ty),
 lone AS (SELECT source_uri, target_uri, rel_type, is_direct FROM (SELECT *, row_number() OVER (PARTITION BY source_uri, target_uri ORDER BY is_direct, seq, rel_type) AS rn FROM ln) WHERE rn = 1)"""
 _LTIER = "CASE WHEN is_direct AND replace(rel_type, '_INBOUND', '') = 'ns0__translationOf' THEN 5 WHEN is_direct AND replace(rel_type, '_INBOUND', '') = 'ns0__relatedTo' THEN 3 WHEN is_direct AND replace(rel_type, '_INBOUND', '') = 'ns0__arrangementOf' THEN 4 ELSE " + Q.tier("slug") + " END"
+_STATED = f"""st AS (SELECT '{_H}' || p_partkey AS uri, p_partkey AS k, p_size AS z, p_name, p_brand, p_type FROM part WHERE p_size % 13 NOT IN (1, 2, 3, 4, 5)),
+st_rel AS (SELECT uri AS source_uri, '{_H}' || (k + 1) AS target_uri, CASE z % 5 WHEN 0 THEN 'sequel' WHEN 1 THEN 'basedon' WHEN 2 THEN 'retoldin' WHEN 3 THEN 'partof' ELSE 'relatedwork' END AS rel_type, CASE WHEN z % 2 = 0 THEN p_brand END AS title, false AS is_direct FROM st WHERE z % 11 <> 0
+  UNION ALL SELECT uri, 'http://{_C.host}/resources/works/' || k, 'translationof', NULL, true FROM st WHERE z % 11 <> 0 AND z % 3 = 0
+  UNION ALL SELECT uri, '{_H}' || (k + 2), 'relatedto', NULL, true FROM st WHERE z % 11 <> 0 AND z % 3 = 1),
+st_hub AS (SELECT uri, p_name AS title, CASE WHEN z % 7 <> 0 THEN p_brand ELSE '' END AS agents, '{_C.ontology}' || p_type AS media FROM st)"""
+# Every supplier's name has one length, so of all labels that begin with a label the shortest is that label itself.
 SQL = {
+    "rdf_stated": f"WITH {_STATED} SELECT * FROM st_rel",
+    "rdf_hubs": f"WITH {_STATED} SELECT uri, title, agents, media, (SELECT count(*) FROM st_rel WHERE source_uri = uri)::INT AS n_relations FROM st_hub",
+    "new_negatives": f"WITH {_STATED} SELECT uri FROM st WHERE z % 11 = 0",
+    "label_details": f"WITH {_LABELS}, one AS (SELECT label, min(hub_uri) AS uri FROM lab GROUP BY 1) SELECT label, uri, label AS \"aLabel\", regexp_extract(uri, '[^/]+$') AS token FROM one",
+    "legacy_candidates": f"WITH {_LEGACY} SELECT source_uri AS hub_uri, count(*) AS rel_count FROM de WHERE source_uri IN (SELECT hub_uri FROM g_title WHERE len(list_filter(main_titles, lambda t: contains(lower(t), 'red'))) > 0) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "marc_fullrecord": "SELECT 'show-' || p_partkey AS id, p_name || ' :' AS title_proper, p_partkey::VARCHAR AS number FROM part WHERE p_size % 9 <> 0",
+    "related_titles": f"""WITH {Q.SCORED}, {_STATED},
+        f AS (SELECT r.*, {Q.clean('rel_type')} AS slug FROM st_rel r WHERE source_uri NOT IN (SELECT '{_H}' || p_partkey FROM part WHERE p_size % 4 = 0)),
+        fk AS (SELECT f.*, coalesce(q.freq, 0) AS freq, mx.max_freq, {Q.tier('f.slug')} AS tier, s.agents AS sg, s.media AS smd, c.agents AS tg, {Q.specific('c.media')} AS tmd, coalesce(f.title, c.title) AS shown_title
+          FROM f CROSS JOIN mx LEFT JOIN freq q ON f.slug = q.rel_type LEFT JOIN ctx c ON f.target_uri = c.hub_uri LEFT JOIN st_hub s ON f.source_uri = s.uri),
+        fs AS (SELECT *, least(100.0::DOUBLE, {Q._BASE.format(t='tier')} + {Q.rarity('freq', 'max_freq')} + CASE WHEN sg = '' OR len(coalesce(tg, [])) = 0 THEN 5.0 ELSE 15.0 END + CASE WHEN len(coalesce(tmd, [])) > 0 THEN 10.0 ELSE 3.0 END) AS score FROM fk),
+        fr AS (SELECT *, row_number() OVER (PARTITION BY source_uri ORDER BY score DESC, target_uri) AS rank FROM fs),
+        rec AS (SELECT p_partkey AS id, p_size AS z, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS own, CASE WHEN p_size % 2 = 0 THEN '{_H}' || p_partkey END AS u0, CASE WHEN p_size % 4 < 2 THEN '{_H}' || (p_partkey + 1) END AS u1,
+          CASE WHEN p_size % 3 = 0 THEN '{_H}' || (p_partkey + 2) END AS u2 FROM part),
+        w AS (SELECT id, own, 0 AS prio, u0 AS src, 'rdf' AS source FROM rec UNION ALL SELECT id, own, 1, u1, 'rdf' FROM rec UNION ALL SELECT id, own, 2, u2, 'rdf' FROM rec
+          UNION ALL SELECT id, own, 3, u1, 'graph' FROM rec UNION ALL SELECT id, own, 4, u0, 'graph' FROM rec),
+        res AS (SELECT 'rdf' AS source, source_uri, target_uri, rel_type, shown_title AS title, score, rank FROM fr UNION ALL SELECT 'graph', source_uri, target_uri, rel_type, title, score, rank FROM ranked),
+        hit AS (SELECT w.id, w.own, w.prio, res.* FROM w JOIN res ON w.src = res.source_uri AND w.source = res.source), top AS (SELECT id, min(prio) AS prio FROM hit GROUP BY 1),
+        ok AS (SELECT '{_H}' || p_partkey AS uri FROM part WHERE p_partkey % 3 <> 0 UNION SELECT '{_H}' || (p_partkey + 1) FROM part WHERE p_partkey % 3 <> 0),
+        one2 AS (SELECT hit.*, row_number() OVER (PARTITION BY hit.id ORDER BY rank) AS shown_rank FROM hit JOIN top ON hit.id = top.id AND hit.prio = top.prio WHERE rank <= 45 AND target_uri IN (SELECT uri FROM ok))
+        SELECT id, source, CASE WHEN source_uri IN (SELECT uri FROM ok) THEN source_uri END AS primary_uri, coalesce(CASE WHEN source = 'rdf' THEN (SELECT title FROM st_hub WHERE uri = source_uri) END, own, (SELECT title FROM ctx WHERE hub_uri = source_uri)) AS hub_title,
+          target_uri, title, rel_type, shown_rank FROM one2 WHERE shown_rank <= 15""",
     "validation_latest": f"WITH {_LOG} SELECT uri, valid, epoch_us(checked_at) AS checked_us, epoch_us(t0) - epoch_us(checked_at) < {_DAY}000000 AS fresh FROM last, t0",
     "needs_check_anti": f"WITH {_LOG}, {Q.GRAPH} SELECT DISTINCT target_uri AS uri FROM g_relation WHERE target_uri NOT IN (SELECT uri FROM live)",
     "validated_semi": f"WITH {_LOG} SELECT uri FROM live WHERE valid",
