@@ -1,8 +1,9 @@
 """References to records that do not exist.
 
-References are pre-aggregated per key and period. The few heaviest keys are checked against a broadcast slice of the
-target table; all other keys go through a shuffle join of the pre-aggregated rows. Row listings join the references
-back to the key-periods that hold an orphan, so a key without orphans is shuffled only in its aggregated form.
+References are normalised once and pre-aggregated per key and period. Key-periods of the few heaviest keys are checked
+against a broadcast slice of the target table, those of all other keys by a shuffle join, and both sets of orphans are
+united. Row listings join the references back to the key-periods that hold an orphan, heavy ones by broadcast again, so the
+references of a heavy key are never shuffled.
 """
 
 from __future__ import annotations
@@ -13,11 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.uris import hub_name, is_hub_uri
+from kinweave.session import checkpoint
 
-#: At most this many keys are checked by broadcast; a key outside them has at most 1/HEAVY_KEYS of the references.
-HEAVY_KEYS = 64
-#: A key with fewer references than this is never worth a path of its own.
-HEAVY_MIN_ROWS = 20_000
+#: A key with more than this share of the references is heavy; so there are fewer than its inverse.
+HEAVY_SHARE = 1 / 64
 
 
 def references(df: DataFrame, src_table: str, row_id: str, uri: str, at: str) -> DataFrame:
@@ -54,20 +54,18 @@ def _counted(refs: DataFrame) -> DataFrame:
     return refs.groupBy("key", "src_table", "period").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
-def heavy_keys(refs: DataFrame, keys: int = HEAVY_KEYS, min_rows: int = HEAVY_MIN_ROWS) -> list[str]:
-    """Up to `keys` of the most referenced keys with at least `min_rows` references.
-
-    A frequent-items sketch finds them, so nothing but sketches is shuffled. Which keys it names affects speed only.
-    """
-    top = refs.agg(F.expr(f"approx_top_k(key, {keys}, {64 * keys})").alias("top")).first()["top"]
-    return sorted(x["item"] for x in top or () if x["count"] >= min_rows)
+def heavy_keys(counts: DataFrame, share: float = HEAVY_SHARE) -> list[str]:
+    """The keys with more than `share` of all references, from their pre-aggregated counts; fewer than 1 / `share`."""
+    total = counts.agg(F.sum("n").cast("double")).scalar()
+    each = counts.groupBy("key").agg(F.sum("n").alias("n"))
+    return sorted(r["key"] for r in each.filter(F.col("n") > share * total).select("key").collect())
 
 
-def _split(refs: DataFrame, hub: DataFrame, heavy: list[str]) -> list[tuple[DataFrame, DataFrame]]:
+def _split(df: DataFrame, hub: DataFrame, heavy: list[str]) -> list[tuple[DataFrame, DataFrame]]:
     if not heavy:
-        return [(refs, hub)]
+        return [(df, hub)]
     hot = F.col("key").isin(heavy)
-    return [(refs.filter(~hot), hub.filter(~hot)), (refs.filter(hot), F.broadcast(hub.filter(hot)))]  # at most HEAVY_KEYS rows
+    return [(df.filter(~hot), hub.filter(~hot)), (df.filter(hot), F.broadcast(hub.filter(hot)))]  # a row per heavy key
 
 
 def orphan_rows(refs: DataFrame, hub: DataFrame, heavy: list[str] | None = None) -> DataFrame:
@@ -76,25 +74,19 @@ def orphan_rows(refs: DataFrame, hub: DataFrame, heavy: list[str] | None = None)
     `refs` as from `references`, `hub` as from `lifetimes`. A reference without a time is an orphan only when its key is
     missing, with a null period. Null keys never get here; repeated rows collapse.
     """
-    heavy = heavy_keys(refs) if heavy is None else heavy
+    refs = checkpoint(refs)
+    counts = checkpoint(_counted(refs))
+    heavy = heavy_keys(counts) if heavy is None else heavy
     parts = []
-    for k, (r, h) in enumerate(_split(refs, hub, heavy)):
-        t = h.withColumn("found", F.lit(True))
-        if k == 0:
-            # Key-periods whose references all fall inside the target's life hold no orphan.
-            whole = F.col("found") & (F.col("born") <= F.col("first_at")) & (F.col("died").isNull() | (F.col("died") > F.col("last_at")))
-            timeless = F.col("found") & F.col("first_at").isNull()
-            suspects = (
-                _counted(r)
-                .join(t, "key", "left")
-                .filter(~F.coalesce(whole | timeless, F.lit(False)))
-                .select("key", "src_table", "period", "found", "born", "died")
-            )
-            # Renamed, so that the join condition stays an equi-join for null periods too.
-            s = suspects.select(*[F.col(c).alias(f"s_{c}") for c in ("key", "src_table", "period")], "found", "born", "died")
-            met = r.join(s, (r.key == s.s_key) & (r.src_table == s.s_src_table) & r.period.eqNullSafe(s.s_period))
-        else:
-            met = r.join(t, "key", "left")
+    for (c, h), (r, _) in zip(_split(counts, hub, heavy), _split(refs, hub, heavy)):
+        # Key-periods whose references all fall inside the target's life hold no orphan.
+        whole = F.col("found") & (F.col("born") <= F.col("first_at")) & (F.col("died").isNull() | (F.col("died") > F.col("last_at")))
+        timeless = F.col("found") & F.col("first_at").isNull()
+        suspects = c.join(h.withColumn("found", F.lit(True)), "key", "left").filter(~F.coalesce(whole | timeless, F.lit(False)))
+        # Renamed, so that the join condition stays an equi-join for null periods too.
+        s = suspects.select(*[F.col(k).alias(f"s_{k}") for k in ("key", "src_table", "period")], "found", "born", "died")
+        s = F.broadcast(s) if parts else s  # of heavy keys: a row per key, table and period
+        met = r.join(s, (r.key == s.s_key) & (r.src_table == s.s_src_table) & r.period.eqNullSafe(s.s_period))
         parts.append(met.select("src_table", "row_id", _month("period"), _reason(F.col("at"), F.col("found"), F.col("born"), F.col("died")).alias("reason")).filter("reason is not null"))
     return reduce(DataFrame.unionByName, parts).distinct()
 
@@ -104,8 +96,9 @@ def orphan_keys(refs: DataFrame, hub: DataFrame, heavy: list[str] | None = None)
 
     Only pre-aggregated rows are shuffled: heavy keys meet a broadcast slice of `hub`, the rest an anti-join.
     """
-    heavy = heavy_keys(refs) if heavy is None else heavy
-    parts = [_counted(r).join(h, "key", "left_anti") for r, h in _split(refs, hub, heavy)]
+    counts = checkpoint(_counted(refs))
+    heavy = heavy_keys(counts) if heavy is None else heavy
+    parts = [c.join(h, "key", "left_anti") for c, h in _split(counts, hub, heavy)]
     every = reduce(DataFrame.unionByName, parts)
     return every.groupBy("src_table", _month("period")).agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").alias("orphan_refs"))
 
