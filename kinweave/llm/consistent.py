@@ -1,8 +1,11 @@
 """One consistent form for text that looks the same but differs in its characters.
 
-A longest-match transducer reads grapheme clusters once, left to right. Its mapping is computed from the character
-database when the module is loaded and checked for conflicts: widths, joined letters, spaces, invisible characters and
-composed accents. Letters are buffered until their word ends, and a word that mixes alphabets is brought to one of them.
+A transducer, compiled when it is first used, reads text once from left to right and takes the longest match at each place:
+a run of plain text, a mapped sequence of characters within a grapheme cluster, or a character as it is. Its mapping is
+computed from the character database for widths, joined letters, spaces, invisible characters and accents (precomposed,
+as sequences, and in any order of marks) and checked for conflicts. Look-alike letters are the transducer's states: letters
+are buffered until their word ends, together with what each of them would be in another alphabet, and a word that mixes
+alphabets comes out in one of them.
 """
 
 from __future__ import annotations

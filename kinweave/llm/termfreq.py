@@ -1,19 +1,21 @@
 """How often every distinct term occurs, in how many records, and which terms are too rare or too common to be useful.
 
-Vertical layout: record identifiers are dense integers, and each term has one bitmap of identifiers per chunk of 32,768
-records next to a parallel occurrence counter. Postings of any two parts merge by union of the bitmaps and sum of the
-counters; the document frequency of a term is the cardinality of its bitmaps.
+Vertical layout: record identifiers are dense integers, and each term has a compressed bitmap of identifiers next to a
+parallel occurrence counter. A bitmap is kept as its 64-bit words that are not zero, one row each, so a term of a single
+record costs one word and a term of all records one bit a record. Parts merge by union of their words and sum of their
+counters, within a task, between tasks and between postings; the document frequency of a term is its bitmap's cardinality.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Mean number of records per bucket; half a chunk, so that nearly every bucket needs a single bitmap per term.
+#: Mean number of records that are numbered together.
 RECORDS_PER_BUCKET = 16_384
 
 
@@ -23,32 +25,33 @@ def record_count(df: DataFrame, record: str) -> int:
 
 
 def postings(df: DataFrame, term: str, record: str, n_records: int) -> DataFrame:
-    """`term, bucket, chunk, bitmap, occurrences` over all rows of `df` with a term.
+    """`term, bucket, at, bits, occurrences` over all rows of `df` with a term: the words of the terms' bitmaps.
 
     Rows are first combined per (term, record), which takes the weight off hot records and hot terms. Records are then
     numbered within hash buckets, so numbering needs no global sort and the bitmaps are built where the numbers are.
-    A row with a term but no record counts as an occurrence only: it has a null bitmap.
+    A row with a term but no record counts as an occurrence only: its word is null.
     """
     pairs = df.select(F.col(term).alias("term"), F.col(record).alias("record")).filter("term is not null").groupBy("term", "record").agg(F.count(F.lit(1)).alias("n"))
     buckets = max(1, ceil(n_records / RECORDS_PER_BUCKET))
     numbered = pairs.withColumn("bucket", F.pmod(F.xxhash64("record"), F.lit(buckets))).withColumn(
-        "number", F.dense_rank().over(Window.partitionBy("bucket").orderBy("record")).cast("long")
+        "number", F.dense_rank().over(Window.partitionBy("bucket").orderBy("record")) - 1
     )
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number") % 64)
     known = F.col("record").isNotNull()
-    # The window's partitioning by bucket serves this grouping as well: no further shuffle.
-    return numbered.groupBy("bucket", "term", F.when(known, F.bitmap_bucket_number("number")).alias("chunk")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap"), F.sum("n").alias("occurrences")
-    ).withColumn("bitmap", F.when(F.col("chunk").isNotNull(), F.col("bitmap")))
+    words = numbered.select("term", "bucket", F.when(known, F.floor(F.col("number") / 64)).alias("at"), F.when(known, bit).alias("bits"), F.col("n").alias("occurrences"))
+    # The window's partitioning by bucket serves this union as well: no further shuffle.
+    return merge(words)
 
 
-def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Union of two sets of postings over the same record numbering."""
-    return a.unionByName(b).groupBy("bucket", "term", "chunk").agg(F.bitmap_or_agg("bitmap").alias("bitmap"), F.sum("occurrences").alias("occurrences"))
+def merge(*parts: DataFrame) -> DataFrame:
+    """Union of postings over the same record numbering: of the bitmaps, and the sum of the counters."""
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("bucket", "term", "at").agg(F.bit_or("bits").alias("bits"), F.sum("occurrences").alias("occurrences"))
 
 
 def frequencies(post: DataFrame) -> DataFrame:
     """`term, occurrences, records`: one row per distinct term."""
-    return post.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("records"))
+    return post.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.coalesce(F.sum(F.bit_count("bits").cast("long")), F.lit(0).cast("long")).alias("records"))
 
 
 def mark(freq: DataFrame, n_records: int, rare_per: int = 1000, common_share: float = 0.25) -> DataFrame:
