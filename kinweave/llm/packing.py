@@ -54,9 +54,14 @@ def _knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[flo
     return float(values @ take), take
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
-    """Configurations with their amounts in a solution of the linear program: fewest containers that hold `counts` of `sizes`."""
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int | None = None) -> list[tuple[np.ndarray, float]]:
+    """Configurations with their amounts in a solution of the linear program: fewest containers that hold `counts` of `sizes`.
+
+    Columns are generated until none would improve the solution. Degenerate steps could go on for ever, so there are at most
+    50 a size, or `rounds`; what is found by then still holds everything, in a few containers more.
+    """
     m = len(sizes)
+    rounds = 50 * m if rounds is None else rounds
     basis = np.diag((capacity // sizes).astype(float))  # a column per configuration
     amount = counts / np.diag(basis)
     inverse = np.diag(1 / np.diag(basis))

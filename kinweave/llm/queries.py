@@ -54,8 +54,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     """All titles and authors in their consistent form."""
-    t = _texts(spark, d)
-    return t.select("id", *[consistent.consistent_column(spark, F.col(c)).alias(c) for c in ("title", "author")]).distinct()
+    return consistent.with_consistent(_texts(spark, d), ["title", "author"]).distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

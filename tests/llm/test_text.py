@@ -38,10 +38,21 @@ def test_consistent_is_idempotent_and_composed(s):
     assert not any(unicodedata.category(c) in ("Cf", "Cc") or c.isspace() and c != " " for c in x)
 
 
-def test_the_mapping_has_no_conflicts():
-    table = consistent._build()
-    assert all(not any(c in table for c in v) for v in table.values())
-    assert consistent._build_alike()["Greek", "Latin"]["ο"] == "o"
+def test_conflicts_of_the_mapping_are_found():
+    t = consistent.transducer()
+    assert t.tree["e"]["\u0301"][None] == "é" and t.tree["\u00a0"][None] == " "
+    assert consistent.alike()["Greek", "Latin"]["ό"] == "ó" and consistent.alike()["Latin", "Cyrillic"]["ë"] == "ё"
+    with pytest.raises(ValueError, match="becomes both"):
+        consistent.Transducer([("ab", "x"), ("ab", "y")])
+    with pytest.raises(ValueError, match="in turn"):
+        consistent.Transducer([("\u0190", "\u0191"), ("\u0191", "z")])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("aeoUыЕ각가\u0300\u0301\u0308\u0323\u0316\u031b\u0304\u0327< क\u093c\u09c7\u09be"), max_size=9))
+def test_marks_in_any_order_compose(s):
+    """The longest matches are the composition that the character database defines."""
+    assert consistent.consistent(s) == unicodedata.normalize("NFC", s)
 
 
 def test_inconsistent_rows(spark):
@@ -49,8 +60,9 @@ def test_inconsistent_rows(spark):
     got = {(r["id"], r["field"]) for r in consistent.inconsistent(df, "id", ["title", "author"]).collect()}
     assert got == {("2", "title"), ("2", "author"), (None, "author"), ("3", "title")}
     assert consistent.inconsistent(df.limit(0), "id", ["title"]).count() == 0
-    c = df.select(consistent.consistent_column(spark, F.col("title")).alias("t"), "id")
-    assert sorted(r["t"] for r in c.collect()) == ["", "a b", "line ", "ok", "ok"]
+    c = consistent.with_consistent(df, ["title", "author"])
+    assert sorted(r["title"] for r in c.collect()) == ["", "a b", "line ", "ok", "ok"] and c.filter("author is null").count() == 2
+    assert "ArrowEvalPython" in c._jdf.queryExecution().toString() and c.filter("title = 'ok'").count() == 2
 
 
 # Canonical values
