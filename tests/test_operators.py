@@ -1,5 +1,7 @@
 """Graph, resolution, validation, sinks and streams on small hand-made inputs."""
 
+import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -101,7 +103,7 @@ def test_legacy_prefers_typed(spark):
 
 def test_answers_are_decoded_by_column_name(spark):
     answer = '{"results": [{"columns": ["n", "uri"], "data": [{"row": [3, "u"]}, {"row": [null, "v"]}]}], "errors": []}'
-    df = spark.createDataFrame([(answer,), ('{"results": []}',)], "x string").select(F.inline(sinks.decode_rows(F.col("x"), ["uri", "n"])))
+    df = spark.createDataFrame([(answer,), ('{"results": [], "errors": []}',)], "x string").select(F.inline(sinks.decode_rows(F.col("x"), ["uri", "n"])))
     assert [tuple(r) for r in df.collect()] == [("u", "3"), ("v", None)]
 
 
@@ -132,10 +134,106 @@ def test_cached_table(spark, tmp_path):
     assert [sinks.cached_table(spark, path, build, ttl).first()["freq"] for ttl in (60, 60, 0)] == [1, 1, 2]
 
 
+def test_a_commit_follows_all_batches(spark, tmp_path):
+    df = spark.createDataFrame([(k,) for k in range(120)], "id int")
+    log = tmp_path / "posts"
+    log.mkdir()
+
+    def post(body):
+        (log / f"{abs(hash(body))}").write_text(body)
+        return 200
+
+    def commit():
+        assert sum(len(json.loads(p.read_text())) for p in log.iterdir()) == 120
+        assert all(len(json.loads(p.read_text())) <= 50 for p in log.iterdir())
+        return 200
+
+    sinks.post_batches(df, post, commit=commit)
+    with pytest.raises(RuntimeError, match="503 to the commit"):
+        sinks.post_batches(df, post, commit=lambda: 503)
+    with pytest.raises(Exception, match="500"):
+        sinks.post_batches(df, lambda body: 500, commit=lambda: pytest.fail("no commit after a failed batch"))
+
+
+@pytest.mark.parametrize("answer, message", [("", "empty answer"), ("oops", "no answer"), ('{"results": [], "errors": [{"code": "Syntax", "message": "bad query"}]}', "Syntax: bad query")])
+def test_wrong_answers_fail(spark, answer, message):
+    df = spark.createDataFrame([(answer,)], "x string")
+    with pytest.raises(Exception, match=message):
+        df.select(sinks.decode_rows(F.col("x"), ["uri"])).collect()
+
+
+def test_bucketed_table_needs_no_shuffle(spark):
+    a = spark.range(100).select(F.col("id").cast("string").alias("hub_uri"))
+    for name in ("bucketed_a", "bucketed_b"):
+        sinks.write_bucketed(a, name, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("bucketed_a").join(spark.table("bucketed_b"), "hub_uri")
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().toString() and joined.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("bucketed_a", "bucketed_b"):
+            spark.sql(f"DROP TABLE {name}")
+
+
+def test_sources_prune_the_plan(spark):
+    from kinweave.sources import fixture
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("the test tables are not here")
+    g = fixture.graph(spark, d)
+    one = g.hub.orderBy("hub_uri").limit(3).select(F.col("hub_uri").alias("source_uri"))
+    every = P.rank_related(g).join(one, "source_uri", "left_semi")
+    columns = ["source_uri", "target_uri", "rank", "score", "title", "rel_type"]
+    assert sorted(P.rank_related(g, one).select(*columns).collect()) == sorted(every.select(*columns).collect()) != []
+
+
+def test_checkpoint_folder(spark, monkeypatch):
+    """Only a session in a single process may go without a shared folder."""
+    from kinweave import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Frame:
+        class sparkSession:
+            sparkContext = Context()
+
+            class conf:
+                @staticmethod
+                def get(key, default):
+                    return None
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint(Frame())
+    assert session.estimated_bytes(spark.range(1000)) == pytest.approx(8000, rel=0.01)
+    assert session.estimated_bytes(spark.range(5_000_000)) > session.BROADCAST_LIMIT
+
+
+def test_index_documents_have_their_schema(spark):
+    from kinweave.model import INDEX_DOCUMENT
+    from kinweave.sources import marc
+
+    xml = "<record><controlfield tag='001'>7</controlfield><datafield tag='245' ind1=' ' ind2=' '><subfield code='a'>T</subfield></datafield></record>"
+    df = spark.createDataFrame([(xml,)], "xml string").withColumn("marc", marc.from_column(F.col("xml")))
+    want = {(f.name, f.dataType.simpleString()) for f in spark.createDataFrame([], INDEX_DOCUMENT).schema}
+    doc = marc.index_document(df, "p")
+    assert {(f.name, f.dataType.simpleString()) for f in doc.schema} == want and doc.first()["fullrecord"] == xml
+    # Without the stored text the record is written again, and reads the same.
+    again = marc.index_document(df.drop("xml"), "p").select(marc.from_column(F.col("fullrecord")).alias("m")).first()["m"]
+    assert again["controlfield"][0]["_VALUE"] == "7" and again["datafield"][0]["subfield"][0]["_VALUE"] == "T"
+
+
 def test_seed_only_when_the_index_is_empty(spark):
-    """Documents that the index holds already are not loaded again."""
+    """An index that holds anything is not seeded, and documents it holds are not loaded again."""
     from kinweave.sources import marc
 
+    seeds = spark.createDataFrame([("s-1",), ("s-2",)], "id string")
+    assert marc.seed(seeds, seeds.limit(0)).count() == 2 and marc.seed(seeds, spark.createDataFrame([("x",)], "id string")).count() == 0
     docs = spark.createDataFrame([("a-1",), ("a-2",)], "id string")
     assert marc.not_loaded(docs, docs.limit(0)).count() == 2 and marc.not_loaded(docs, docs).count() == 0
     assert marc.count_by_prefix(docs, "a").first()[0] == 2 and marc.count_by_prefix(docs, "b").first()[0] == 0
