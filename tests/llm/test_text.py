@@ -49,7 +49,7 @@ def test_conflicts_of_the_mapping_are_found():
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(st.sampled_from("aeoUыЕ각가\u0300\u0301\u0308\u0323\u0316\u031b\u0304\u0327< क\u093c\u09c7\u09be"), max_size=9))
+@given(st.text(st.sampled_from("aeoU각가\u0300\u0301\u0308\u0323\u0316\u031b\u0304\u0327< क\u093c\u09c7\u09be"), max_size=9))
 def test_marks_in_any_order_compose(s):
     """The longest matches are the composition that the character database defines."""
     assert consistent.consistent(s) == unicodedata.normalize("NFC", s)
