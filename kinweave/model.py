@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinweave.session import checkpoint
 
 #: Stored MARC records as the XML reader gives them.
 MARC = """leader string, controlfield array<struct<_tag string, _VALUE string>>,
@@ -24,6 +27,8 @@ class Graph:
 
     hub(hub_uri); title(hub_uri, title_node, main_titles array<string>); agent(hub_uri, agent_uri); type(hub_uri, type_uri);
     identifier(hub_uri, id_value); relation(relation_id, source_uri, target_uri); relation_type(relation_id, type_uri).
+    `typed`, where there is one, holds relation and relation_type together, written once, so that nothing joins them again:
+    (relation_id, source_uri, target_uri, types array<string>), with an empty array for a relation without a type.
     """
 
     hub: DataFrame
@@ -33,3 +38,17 @@ class Graph:
     identifier: DataFrame
     relation: DataFrame
     relation_type: DataFrame
+    typed: DataFrame | None = None
+
+
+def materialised(graph: Graph) -> Graph:
+    """The graph with its relations and their types in one written table, for plans that read them more than once."""
+    kinds = graph.relation_type.groupBy("relation_id").agg(F.collect_set("type_uri").alias("types"))
+    none = F.array().cast("array<string>")
+    typed = graph.relation.join(kinds, "relation_id", "left").select("relation_id", "source_uri", "target_uri", F.coalesce("types", none).alias("types"))
+    return with_typed(graph, checkpoint(typed))
+
+
+def with_typed(graph: Graph, typed: DataFrame) -> Graph:
+    """The graph whose relations and types are those of the written table `typed`."""
+    return replace(graph, relation=typed.select("relation_id", "source_uri", "target_uri"), relation_type=typed.select("relation_id", F.explode("types").alias("type_uri")), typed=typed)

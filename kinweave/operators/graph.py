@@ -26,12 +26,14 @@ def typed_relations(graph: Graph, config: Config = Config(), sources: DataFrame
 
     With `sources(source_uri)` only relations that start or end at one of them are looked at, before any other join.
     """
-    r = graph.relation
+    r = graph.relation if graph.typed is None else graph.typed
     if sources is not None:
         s = broadcast_if_small(sources.select(F.col("source_uri").alias("wanted")).distinct())
         out, back = r.join(s, r.source_uri == s.wanted, "left_semi"), r.join(s, r.target_uri == s.wanted, "left_semi")
         r = out.unionByName(back.join(s, back.source_uri == s.wanted, "left_anti"))
-    t = between_hubs(graph, r).join(graph.relation_type, "relation_id", "left").filter(not_bnode(F.col("type_uri")))
+    t = between_hubs(graph, r)
+    t = t.join(graph.relation_type, "relation_id", "left") if graph.typed is None else t.withColumn("type_uri", F.explode_outer("types"))
+    t = t.filter(not_bnode(F.col("type_uri")))
     return t.select("source_uri", "target_uri", X.relation_slug(F.col("type_uri"), config).alias("rel_type"))
 
 

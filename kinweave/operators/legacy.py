@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from kinweave.config import Config
 from kinweave.functions import exprs as X
-from kinweave.operators.scoring import with_context
-from kinweave.session import broadcast_if_small
+from kinweave.operators.scoring import MAX_TYPES, with_context
+from kinweave.session import broadcast_rows
 
 # Tiers of direct edges, and listed types that the older lists lack.
 DIRECT_TIERS = {"ns0__translationOf": 5, "ns0__relatedTo": 3, "ns0__arrangementOf": 4}
@@ -52,7 +52,7 @@ def candidates(title: DataFrame, edges: DataFrame, text: str, n: int = 10) -> Da
 
 def score(related: DataFrame, context: DataFrame, frequencies: DataFrame, total: int, config: Config = Config()) -> DataFrame:
     """Adds `tier, base, rarity_bonus, author_bonus, medium_bonus, score`; media bring 10 when they differ at all."""
-    f = broadcast_if_small(frequencies.select(F.col("rel_type").alias("f_type"), "freq"))
+    f, _ = broadcast_rows(frequencies.select(F.col("rel_type").alias("f_type"), "freq"), MAX_TYPES)
     j = related.withColumn("slug", X.clean_type(F.col("rel_type")))
     j = j.join(f, j.slug == f.f_type, "left").withColumn("freq", F.coalesce("freq", F.lit(0).cast("long")))
     j = with_context(with_context(j, context, "source", "source_uri"), context, "target", "target_uri")

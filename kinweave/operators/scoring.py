@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 
 from kinweave.config import Config
 from kinweave.functions import exprs as X
-from kinweave.session import broadcast_if_small
+from kinweave.session import broadcast_rows
 
 _NONE = "array<string>"
+#: Most relation types whose frequencies are broadcast.
+MAX_TYPES = 100_000
 
 
 def with_context(related: DataFrame, context: DataFrame, prefix: str, key: str) -> DataFrame:
@@ -25,15 +27,16 @@ def with_context(related: DataFrame, context: DataFrame, prefix: str, key: str)
 def score(related: DataFrame, context: DataFrame, frequencies: DataFrame, config: Config = Config(), source_context: DataFrame | None = None) -> DataFrame:
     """Adds title, label, score, its parts, media and `different_author` to `related(source_uri, target_uri, rel_type, ...)`.
 
-    Frequencies have as many rows as there are types, so they and their maximum are broadcast after a check of their size.
-    Without any frequency every type counts as unknown.
+    Frequencies have as many rows as there are types; up to `MAX_TYPES` of them are counted once and broadcast. Without any
+    frequency every type counts as unknown.
     """
-    top = frequencies.agg(F.coalesce(F.max("freq"), F.lit(1)).alias("max_freq"))
-    f = broadcast_if_small(frequencies.select(F.col("rel_type").alias("f_type"), "freq"))
+    f, rows = broadcast_rows(frequencies.select(F.col("rel_type").alias("f_type"), "freq"), MAX_TYPES)
+    top = frequencies.agg(F.coalesce(F.max("freq"), F.lit(1))).scalar() if rows is None else F.lit(max((r["freq"] for r in rows), default=1)).cast("long")
     j = related.withColumn("slug", X.clean_type(F.col("rel_type")))
-    j = j.join(f, j.slug == f.f_type, "left").drop("f_type").withColumn("freq", F.coalesce("freq", F.lit(0).cast("long"))).withColumn("max_freq", top.scalar())
-    j = with_context(j, source_context if source_context is not None else context, "source", "source_uri")
+    j = j.join(f, j.slug == f.f_type, "left").drop("f_type").withColumn("freq", F.coalesce("freq", F.lit(0).cast("long"))).withColumn("max_freq", top)
+    # The source's context comes last: that join leaves the rows together by source, as ranking needs them.
     j = with_context(j, context, "target", "target_uri")
+    j = with_context(j, (source_context if source_context is not None else context).withColumn("title", F.lit(None).cast("string")), "source", "source_uri")
     for side in ("source", "target"):
         j = j.withColumn(f"{side}_specific", X.specific_media(F.col(f"{side}_media"), config))
     j = j.withColumn("tier", X.tier(F.col("slug"))).withColumns(

@@ -18,20 +18,18 @@ from kinweave.sources import rdfxml
 def rank_related(graph: Graph, sources: DataFrame | None = None, n: int | None = None, config: Config = Config()) -> DataFrame:
     """Related hubs of every hub, or of `sources(source_uri)`, scored and ranked from the graph.
 
-    With `sources`, relations and contexts are restricted to what they touch before anything else. Titles are joined to the
-    ranked rows only, and equal scores, to nine decimals, are ranked by target.
+    With `sources`, relations and contexts are restricted to what they touch before anything else. Scores equal to nine
+    decimals are ranked by target.
     """
     related = G.one_per_target(G.neighbours(G.typed_relations(graph, config, sources), sources))
     wanted = None
     if sources is not None:
         ends = F.explode(F.array("source_uri", "target_uri")).alias("hub_uri")
         wanted = related.select(ends).distinct()
-    context = G.hub_context(graph, wanted)
-    scored = S.score(related, context.withColumn("title", F.lit(None).cast("string")), frequencies(graph, config), config)
-    scored = scored.withColumn("score", F.round("score", 9)).drop("title", "source_title", "target_title")
-    ranked = S.ranked(scored) if n is None else S.top(scored, n)
-    titles = context.select(F.col("hub_uri").alias("target_uri"), "title")
-    return ranked.join(titles, "target_uri", "left")
+    # Agents are only compared, so their hashes do.
+    context = G.hub_context(graph, wanted).withColumn("agents", F.transform("agents", lambda a: F.hex(F.xxhash64(a))))
+    scored = S.score(related, context, frequencies(graph, config), config).withColumn("score", F.round("score", 9))
+    return S.ranked(scored) if n is None else S.top(scored, n)
 
 
 def frequencies(graph: Graph, config: Config = Config()) -> DataFrame:

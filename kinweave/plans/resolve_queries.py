@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.config import Config
 from kinweave.functions import exprs as X
+from kinweave.model import Graph
 from kinweave.operators import graph as G
 from kinweave.operators import legacy as L
 from kinweave.operators import resolve as R
@@ -357,12 +358,12 @@ def related_works(spark: SparkSession, d: str) -> DataFrame:
 # The older model
 
 
-def _legacy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _legacy(spark: SparkSession, d: str, g: Graph | None = None) -> tuple[DataFrame, DataFrame]:
     e = fixture.edges(spark, d)
     kinds = F.element_at(F.array(*map(F.lit, L.DIRECT_TIERS)), F.col("l_linenumber") % 3 + 1)
     a, b = fixture.hub_uri(F.col("l_partkey"), _C).alias("source_uri"), fixture.hub_uri(F.col("b_part"), _C).alias("target_uri")
     edges = e.select(a, kinds.alias("edge_type"), b).distinct()
-    g = fixture.graph(spark, d)
+    g = g or fixture.graph(spark, d)
     typed = g.relation.join(g.relation_type, "relation_id").join(g.hub, F.col("target_uri") == F.col("hub_uri"), "left_semi").select("source_uri", "type_uri", "target_uri").distinct()
     return edges, typed
 
@@ -372,8 +373,8 @@ def legacy_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def legacy_score(spark: SparkSession, d: str) -> DataFrame:
-    g = fixture.graph(spark, d)
-    s = L.score(legacy_neighbours(spark, d), G.hub_context(g), G.type_frequencies(g), 21_000)
+    g = fixture.graph(spark, d, keep=True)
+    s = L.score(L.one_per_target(L.neighbours(*_legacy(spark, d, g))), G.hub_context(g), G.type_frequencies(g), 21_000)
     return s.select("source_uri", "target_uri", "tier", F.round("score", 6).alias("score"))
 
 

@@ -75,5 +75,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def broadcast_rows(df: DataFrame, most: int) -> tuple[DataFrame, list | None]:
+    """A small table as rows that were counted, with a broadcast hint, and the rows; beyond `most` rows `df` as it is, and None.
+
+    For tables whose size Catalyst cannot estimate, such as counts of types: a shuffle on such a key would put all of a
+    common type's rows into one task.
+    """
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        return df, None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

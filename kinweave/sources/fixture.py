@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.config import Config
-from kinweave.model import Graph
+from kinweave.model import Graph, with_typed
 from kinweave.session import checkpoint, read
 
 # Relation types in the order in which the projection numbers them.
@@ -58,5 +58,6 @@ def graph(spark: SparkSession, d: str, config: Config = Config(), keep: bool = F
     # The identifier determines both ends, so grouping by it alone is a distinct, and ends and types come from one pass.
     ends = e.select("relation_id", hub_uri(F.col("l_partkey"), config).alias("source_uri"), target.alias("target_uri"), own.alias("t"))
     both = ends.groupBy("relation_id").agg(F.first("source_uri").alias("source_uri"), F.first("target_uri").alias("target_uri"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
-    both = checkpoint(both) if keep else both
-    return Graph(hub, title, agent, kind, identifier, both.select("relation_id", "source_uri", "target_uri"), both.select("relation_id", F.explode("t").alias("type_uri")))
+    both = both.withColumnRenamed("t", "types")
+    g = Graph(hub, title, agent, kind, identifier, both.select("relation_id", "source_uri", "target_uri"), both.select("relation_id", F.explode("types").alias("type_uri")))
+    return with_typed(g, checkpoint(both)) if keep else g
