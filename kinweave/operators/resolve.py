@@ -106,12 +106,13 @@ def title_search(queries: DataFrame, graph: Graph, k1: float = 1.2, b: float = 0
     asked = queries.select("id", X.strip_article(F.col("title")).alias("text")).filter("text <> ''")
     nodes = graph.title.select("hub_uri", "title_node", _tokens(F.array_join("main_titles", " ")).alias("held"))
     n, mean = nodes.agg(F.count(F.lit(1)).cast("double")).scalar(), nodes.agg(F.avg(F.size("held"))).scalar()
-    post = nodes.select("hub_uri", "title_node", "held", F.explode(F.array_distinct("held")).alias("token"))
+    # Only identifiers travel with a token; the words of a title are fetched for what the rarest word brings.
+    post = nodes.select("hub_uri", "title_node", F.explode(F.array_distinct("held")).alias("token"))
     often = post.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("df"))
     q = asked.select("text").distinct().select("text", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("token"), F.size(F.array_distinct(_tokens(F.col("text")))).alias("n_terms"))
     q = q.join(often, "token").groupBy("text", "n_terms").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("terms")).filter(F.size("terms") == F.col("n_terms"))
-    met = q.select("text", "terms", F.col("terms")[0]["token"].alias("token")).join(post, "token")
-    met = met.filter(F.size(F.array_except(F.transform("terms", lambda t: t["token"]), F.col("held"))) == 0).withColumns({"n": n, "mean": mean})
+    met = q.select("text", "terms", F.col("terms")[0]["token"].alias("token")).join(post, "token").drop("token")
+    met = met.join(nodes, ["hub_uri", "title_node"]).filter(F.size(F.array_except(F.transform("terms", lambda t: t["token"]), F.col("held"))) == 0).withColumns({"n": n, "mean": mean})
 
     def part(t: Column) -> Column:
         tf = F.size(F.filter("held", lambda x: x == t["token"])).cast("double")
@@ -206,11 +207,12 @@ def suggest_search(queries: DataFrame, hits: DataFrame, count: int = 20, left_an
         met = asked.join(low.select("uri", "aLabel", F.substr("low", F.lit(1), F.col("n")).alias("low")), "low").drop("low")
     else:
         split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+        # Only the query's rarest word is joined on; the others are looked for in what that brings, by their hashes.
         q, t = asked.withColumn("words", split(F.col("query"))), h.withColumn("held", split(F.col("aLabel")))
-        # Only the query's rarest word is joined on; the others are looked for in what that brings.
-        post = t.select("uri", "aLabel", "held", F.explode("held").alias("token"))
+        hashes = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+        post = t.select("uri", "aLabel", hashes("held").alias("held"), F.explode("held").alias("token"))
         often = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        rare = q.select("query", "words", F.explode("words").alias("token")).join(often, "token").groupBy("query").agg(F.min(F.struct("df", "token")).alias("r"), F.first("words").alias("words"))
+        rare = q.select("query", "words", F.explode("words").alias("token")).join(often, "token").groupBy("query").agg(F.min(F.struct("df", "token")).alias("r"), F.first(hashes("words")).alias("words"))
         met = rare.select("query", "words", F.col("r.token").alias("token")).join(post, "token").filter(F.size(F.array_except("words", "held")) == 0)
     w = Window.partitionBy("query").orderBy(F.length("aLabel"), "aLabel", "uri")
     top = met.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= count).select("query", "position", "uri", "aLabel")

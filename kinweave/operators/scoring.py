@@ -65,6 +65,18 @@ def top(scored: DataFrame, n: int = 10) -> DataFrame:
     return ranked(scored).filter(F.col("rank") <= n)
 
 
+def grouped_rows(rank: DataFrame) -> DataFrame:
+    """Adds to each ranked row its group's best score, tier, size, whether it shows expanded, and the group's rank.
+
+    The same as `grouped` with a row per result, for rankings without a cap: no group is gathered into one row.
+    """
+    own = Window.partitionBy("source_uri", "label")
+    all_ = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    r = rank.withColumns({"top_score": F.max("score").over(all_), "group_tier": F.min_by("tier", "rank").over(all_), "n_results": F.count(F.lit(1)).over(all_)})
+    order = Window.partitionBy("source_uri").orderBy(F.desc("top_score"), "label")
+    return r.withColumns({"expanded": F.col("group_tier") <= 2, "group_rank": F.dense_rank().over(order)})
+
+
 def grouped(rank: DataFrame) -> DataFrame:
     """Per source and label: the best score, the tier of the best row, whether it shows expanded, and the rows in rank order.
 

@@ -97,6 +97,12 @@ def group_by_label(spark: SparkSession, d: str) -> DataFrame:
     return g.select("source_uri", "label", F.round("top_score", 6).alias("top_score"), "tier", "n_results", "expanded", "group_rank", F.array_join(F.transform("results", lambda r: r["target_uri"]), "|").alias("targets"))
 
 
+def grouped_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every result with its group and the group's place among its source's groups."""
+    r = S.grouped_rows(S.ranked(_scored(spark, d)))
+    return r.select("source_uri", "target_uri", "label", "group_rank", "group_tier", "n_results", "expanded", "rank")
+
+
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
     return S.summary(_scored(spark, d))
 
@@ -140,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         neighbours_out, neighbours_in, neighbours_union, neighbours_dedup, rel_type_frequency, hub_degree, hub_context, title_contains, tier_lookup, rarity_bonus, author_distance, medium_crossing,
-        surprise_score, rank_related, all_ranked, group_by_label, score_summary, display_rows, score_breakdown, ranked_report, related_of_some, label_fallback, best_connected_hub,
+        surprise_score, rank_related, all_ranked, group_by_label, grouped_rows, score_summary, display_rows, score_breakdown, ranked_report, related_of_some, label_fallback, best_connected_hub,
     )
 }
 
@@ -164,6 +170,10 @@ SQL = {
     "group_by_label": f"""WITH {Q.SCORED}, x AS (SELECT *, {Q.label('rel_type')} AS label FROM ranked)
         SELECT source_uri, label, round(max(score), 6) AS top_score, arg_min(tier, rank) AS tier, count(*) AS n_results, arg_min(tier, rank) <= 2 AS expanded, string_agg(target_uri, '|' ORDER BY rank) AS targets,
         row_number() OVER (PARTITION BY source_uri ORDER BY round(max(score), 9) DESC, label) AS group_rank FROM x GROUP BY source_uri, label""",
+    "grouped_rows": f"""WITH {Q.SCORED}, {Q.LABEL_TABLE}, b AS (SELECT *, regexp_replace({Q.clean('rel_type')}, '^ns[0-9]+__', '') AS bare FROM ranked),
+        x AS (SELECT b.*, coalesce(lbl.label, {Q.made_label('bare')}) AS label FROM b LEFT JOIN lbl ON lbl.slug = b.bare),
+        g AS (SELECT source_uri, label, arg_min(tier, rank) AS group_tier, count(*) AS n_results, row_number() OVER (PARTITION BY source_uri ORDER BY round(max(score), 9) DESC, label) AS group_rank FROM x GROUP BY source_uri, label)
+        SELECT x.source_uri, x.target_uri, x.label, g.group_rank, g.group_tier, g.n_results, g.group_tier <= 2 AS expanded, x.rank FROM x JOIN g ON x.source_uri = g.source_uri AND x.label = g.label""",
     "score_summary": f"WITH {Q.SCORED} SELECT source_uri, count(*) AS n_related, count(*) FILTER (score >= 50) AS n_interesting, count(*) FILTER (score < 20) AS n_low FROM scored GROUP BY 1",
     "display_rows": f"""WITH {Q.SCORED}, {Q.LABEL_TABLE}, b AS (SELECT *, regexp_replace({Q.clean('rel_type')}, '^ns[0-9]+__', '') AS bare FROM scored)
         SELECT source_uri, target_uri, coalesce(title, 'Unknown') AS title, array_to_string(media, ', ') AS media, coalesce(lbl.label, {Q.made_label('bare')}) AS label, different_author FROM b LEFT JOIN lbl ON lbl.slug = b.bare""",
