@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from kinweave.llm import names
 from kinweave.llm.meeting import meet
-from kinweave.session import checkpoint, python_path
+from kinweave.session import checkpoint, python_path, spread
 
 #: Length of the n-grams of words up to, and of words from, so many letters: a typing error leaves a short word short n-grams
 #: in common, while those of long words can be long and rare.
@@ -82,7 +82,7 @@ def similar_texts(nodes: DataFrame, cosine: float = COSINE, top_n: int | None =
     each = checkpoint(nodes.select("node", "text").mapInPandas(split, "node long, gram string, tf int"))
     rarity = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     vectors = checkpoint(
-        each.join(rarity, "gram")
+        each.join(spread(rarity), "gram")
         .groupBy("node")
         .agg(F.array_sort(F.collect_list(F.struct("df", "gram", "tf"))).alias("v"))
         .select("node", "v.gram", "v.df", "v.tf")
@@ -95,7 +95,7 @@ def similar_texts(nodes: DataFrame, cosine: float = COSINE, top_n: int | None =
     va = vectors.select(F.col("node").alias("a"), F.map_from_arrays("grams", "weights").alias("va"))
     vb = vectors.select(F.col("node").alias("b"), F.map_from_arrays("grams", "weights").alias("vb"))
     dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, g: s + F.col("va")[g] * F.coalesce(F.try_element_at("vb", g), F.lit(0.0)))
-    pairs = met.join(va, "a").join(vb, "b").select("a", "b", dot.alias("cosine")).filter(F.col("cosine") >= cosine - 1e-9)
+    pairs = met.join(spread(va), "a").join(spread(vb), "b").select("a", "b", dot.alias("cosine")).filter(F.col("cosine") >= cosine - 1e-9)
     if top_n is not None:
         both = pairs.select(F.col("a").alias("x"), "*").unionByName(pairs.select(F.col("b").alias("x"), "*"))
         w = Window.partitionBy("x").orderBy(F.desc("cosine"), "a", "b")
@@ -177,12 +177,16 @@ def average_linkage(edges: DataFrame, least: float = LINKAGE) -> DataFrame:
         if pairs.isEmpty():
             break
         rounds.append(pairs)
-        # Relabel the ends, with the size of what they now belong to, and add up what joins the same clusters.
+        # Relabel the ends, with the size of what they now belong to, and add up what joins the same clusters. A move stands
+        # beside the edges of its node rather than being joined to them: Catalyst multiplies the sizes of joined tables, and over
+        # the rounds its estimate would triple its digits each time, until the number alone fills the driver.
         moved = pairs.select(F.explode(F.array("gone", "into")).alias("node"), "into", "size")
         e = edges
         for end, size in (("a", "na"), ("b", "nb")):
             m = moved.select(F.col("node").alias(end), F.col("into").alias("to"), "size")
-            e = e.join(m, end, "left").withColumns({end: F.coalesce("to", end), size: F.coalesce("size", size)}).drop("to", "size")
+            at = Window.partitionBy(end)
+            e = e.unionByName(m, allowMissingColumns=True).withColumns({"to": F.max("to").over(at), "size": F.max("size").over(at)}).filter("total is not null")
+            e = e.withColumns({end: F.coalesce("to", end), size: F.coalesce("size", size)}).drop("to", "size")
         swap = F.col("a") > F.col("b")
         e = e.filter("a <> b").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total", F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")
@@ -202,8 +206,8 @@ def similar_profiles(profiles: DataFrame) -> DataFrame:
     one = profiles.groupBy("profile", "node").agg(F.min(F.struct("author", "dates")).alias("h")).select("profile", "node", "h.author", "h.dates")
     close = similar_texts(profiles.select("node", "text").distinct())
     side = lambda x: one.select(F.col("node").alias(f"node_{x}"), F.col("profile").alias(x), F.col("author").alias(f"author_{x}"), F.col("dates").alias(f"dates_{x}"))
-    across = close.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"), "cosine").join(side("a"), "node_a").join(side("b"), "node_b")
-    within = side("a").withColumn("node_b", F.col("node_a")).join(side("b"), "node_b").filter("a < b").withColumn("cosine", F.lit(1.0))
+    across = close.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"), "cosine").join(spread(side("a")), "node_a").join(spread(side("b")), "node_b")
+    within = side("a").withColumn("node_b", F.col("node_a")).join(spread(side("b")), "node_b").filter("a < b").withColumn("cosine", F.lit(1.0))
     columns = ["a", "b", "cosine", "author_a", "dates_a", "author_b", "dates_b"]
     # The smaller profile comes first.
     flip = F.when(F.col("a") < F.col("b"), F.struct(*columns)).otherwise(F.struct(*[F.col(c.translate(str.maketrans("ab", "ba")) if c in "ab" else c[:-1] + {"a": "b", "b": "a"}[c[-1]] if c != "cosine" else c).alias(c) for c in columns]))
@@ -221,17 +225,17 @@ def variant_classes(df: DataFrame, key: str, author: str, dates: str | None = No
     profiles = checkpoint(rows.select("author", "dates").distinct().mapInPandas(_profiles, _PROFILE))
     pairs = checkpoint(similar_profiles(profiles))
     known = short_forms(pairs, profiles)
-    fuller = profiles.select("profile", F.explode("given").alias("given")).distinct().join(known, "given").groupBy("profile").agg(F.collect_set(F.struct("given", "fuller")).alias("fulls"))
+    fuller = profiles.select("profile", F.explode("given").alias("given")).distinct().join(spread(known), "given").groupBy("profile").agg(F.collect_set(F.struct("given", "fuller")).alias("fulls"))
     fa, fb = (fuller.select(F.col("profile").alias(x), F.col("fulls").alias(f"fulls_{x}")) for x in "ab")
-    edges = pairs.join(fa, "a", "left").join(fb, "b", "left").mapInPandas(_scored, "a long, b long, sim double")
+    edges = pairs.join(spread(fa), "a", "left").join(spread(fb), "b", "left").mapInPandas(_scored, "a long, b long, sim double")
     clusters = average_linkage(edges)
     p = profiles.select(F.col("author").alias("p_author"), F.col("dates").alias("p_dates"), "profile")
-    classed = p.join(clusters, F.col("profile") == F.col("node"), "left").select("p_author", "p_dates", F.coalesce("cluster", "profile").alias("class"))
-    return rows.join(classed, (F.col("author") == F.col("p_author")) & F.col("dates").eqNullSafe(F.col("p_dates"))).select("key", "class")
+    classed = p.join(spread(clusters), F.col("profile") == F.col("node"), "left").select("p_author", "p_dates", F.coalesce("cluster", "profile").alias("class"))
+    return rows.join(spread(classed), (F.col("author") == F.col("p_author")) & F.col("dates").eqNullSafe(F.col("p_dates"))).select("key", "class")
 
 
 def variant_pairs(classes: DataFrame) -> DataFrame:
     """Every pair of different keys of one class, smaller first. The size of this listing is quadratic in a class by definition."""
     one = classes.select("key", "class").distinct()
     a, b = one.select(F.col("key").alias("a"), "class"), one.select(F.col("key").alias("b"), "class")
-    return a.join(b, "class").filter("a < b").select("a", "b").distinct()
+    return a.join(spread(b), "class").filter("a < b").select("a", "b").distinct()

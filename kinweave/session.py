@@ -75,6 +75,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` with the hint that a join with it shuffles both sides.
+
+    For tables as large as the input that generators, Python functions or explosions made: Catalyst's estimate counts one
+    element an array and nothing that a function adds, so it may broadcast many times its limit through the driver.
+    """
+    return df.hint("merge")
+
+
 def broadcast_rows(df: DataFrame, most: int) -> tuple[DataFrame, list | None]:
     """A small table as rows that were counted, with a broadcast hint, and the rows; beyond `most` rows `df` as it is, and None.
 

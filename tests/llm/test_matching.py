@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.llm import leakage, linkage, meeting, termfreq, variants
+from kinweave.session import estimated_bytes
 
 # Term frequencies
 
@@ -336,3 +337,30 @@ def test_equal_windows_have_equal_walks():
     b = leakage._ids(["x", "y", *WORDS[:12], "z"])
     both = list(zip(e.hashes(a, np.array([0])), e.hashes(b, np.array([2]))))
     assert len(both) == e.count == 6 and all(x[0] == y[0] for x, y in both)
+
+
+# What the driver holds
+
+
+def test_estimates_of_the_linkage_stay_small(spark, monkeypatch):
+    """Rounds must not multiply Catalyst's size estimates, whose digits alone would fill the driver."""
+    kept = []
+    keep = lambda df: kept.append(variants_checkpoint(df)) or kept[-1]
+    variants_checkpoint = variants.checkpoint
+    monkeypatch.setattr(variants, "checkpoint", keep)
+    edges = spark.createDataFrame([(i, j, 0.3 + 0.6 * i / 12) for i in range(12) for j in range(i + 1, min(i + 4, 12))], "a long, b long, sim double")
+    variants.average_linkage(edges)
+    assert len(kept) >= 5
+    assert max(map(estimated_bytes, kept[:-1])) < 1 << 120  # the last one joins all the rounds' moves once
+
+
+def test_what_grows_is_never_broadcast_by_estimate(spark, monkeypatch):
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    nodes = spark.createDataFrame([(i, f"{w} {v}") for i, (w, v) in enumerate([("anna", "meyer"), ("ana", "meyer"), ("otto", "meier")])], "node long, text string")
+    assert text(variants.similar_texts(nodes)).count("SortMergeJoin") >= 4
+    plans = []
+    real = linkage.checkpoint
+    monkeypatch.setattr(linkage, "checkpoint", lambda df: plans.append(text(df)) or real(df))
+    rows = spark.createDataFrame([("a", "the night boat", "Ek, Ada", "2001000001", "2001")], "key string, title string, author string, ident string, year string")
+    assert linkage.link(rows, rows).count() == 1
+    assert plans[-1].count("SortMergeJoin") >= 3
