@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kinweave.llm import names
 from kinweave.llm.consistent import consistent
 from kinweave.llm.meeting import MAX_PAIRS, meet
-from kinweave.session import checkpoint, python_path
+from kinweave.session import checkpoint, python_path, spread
 
 #: Confidence from which a pair counts as a match.
 CONFIDENCE = 0.5
@@ -228,7 +228,7 @@ def apart(left: DataFrame, right: DataFrame, n_met: int) -> dict[tuple[int, int,
 
     (nl, kl, yl), (nr, kr, yr) = side(left), side(right)
     # Pairs of identifiers that differ in one place share one mask, and equal ones share all.
-    same = masked(left, "a").join(masked(right, "b"), "mask").select((F.col("a") * F.col("b")).alias("n"), F.contains("mask", F.lit("_")).alias("open"), (F.length("mask")).alias("k"))
+    same = masked(left, "a").join(spread(masked(right, "b")), "mask").select((F.col("a") * F.col("b")).alias("n"), F.contains("mask", F.lit("_")).alias("open"), (F.length("mask")).alias("k"))
     near = same.agg(F.sum(F.when(F.col("open"), F.col("n")).otherwise(-F.col("k") * F.col("n")))).first()[0] or 0.0
     rest = max(float(nl) * nr - n_met, 0.0)
     if not rest:
@@ -294,7 +294,7 @@ def link(left: DataFrame, right: DataFrame, least: float = CONFIDENCE, impossibl
     texts = ("title", "author", "ident", "year", "forms", "family")
     l = nl.join(F.broadcast(often), "head", "left").select(F.col("rec").alias("l"), *texts, F.coalesce("is_common", F.lit(False)).alias("common"))
     r = nr.select(F.col("rec").alias("r"), *[F.col(c).alias(f"r_{c}") for c in texts])
-    compared = checkpoint(levels(pairs.join(l, "l").join(r, "r")).mapInPandas(_compare, "l long, r long, t int, a int, iy int"))
+    compared = checkpoint(levels(pairs.join(spread(l), "l").join(spread(r), "r")).mapInPandas(_compare, "l long, r long, t int, a int, iy int"))
     # At most as many rows as there are patterns.
     counts = {(x["t"], x["a"], x["iy"]): x["n"] for x in compared.groupBy("t", "a", "iy").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = left.sparkSession
@@ -315,7 +315,7 @@ def link(left: DataFrame, right: DataFrame, least: float = CONFIDENCE, impossibl
     def keyed(df: DataFrame, raw: DataFrame, rec: str, key: str) -> DataFrame:
         d = df.select(F.col("key").alias(key), *[F.col(c).cast("string").alias(c) for c in ("title", "author", "ident", "year")]).filter(F.col(key).isNotNull()).distinct()
         same = [d[c].eqNullSafe(raw[f"raw_{c}"]) for c in ("title", "author", "ident", "year")]
-        return d.join(raw, same[0] & same[1] & same[2] & same[3]).select(F.col("rec").alias(rec), key)
+        return d.join(spread(raw), same[0] & same[1] & same[2] & same[3]).select(F.col("rec").alias(rec), key)
 
-    found = good.join(keyed(left, raw_l, "l", "id"), "l").join(keyed(right, raw_r, "r", "ext_id"), "r")
+    found = good.join(spread(keyed(left, raw_l, "l", "id")), "l").join(spread(keyed(right, raw_r, "r", "ext_id")), "r")
     return found.groupBy("id", "ext_id").agg(F.max("confidence").alias("confidence"))

@@ -25,7 +25,7 @@ def meet(left: DataFrame, right: DataFrame, max_pairs: int = MAX_PAIRS) -> DataF
         """Each record in its own part, once for every part of the other side."""
         mine = F.pmod(F.xxhash64(own), F.col(f"parts_{own}")).alias(f"part_{own}")
         each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"parts_{other}") - 1)).alias(f"part_{other}")
-        return k.join(hot, "key").select(*k.columns, mine, each)
+        return k.join(spread(hot), "key").select(*k.columns, mine, each)
 
     plain = left.join(hot, "key", "left_anti").join(spread(right), "key").drop("key")
     cut = parts(left, "l", "r").join(spread(parts(right, "r", "l")), ["key", "part_l", "part_r"])
