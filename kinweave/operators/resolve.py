@@ -196,15 +196,32 @@ def label_cascade(records: DataFrame, labels: DataFrame, suggest) -> DataFrame:
 
 def suggest_search(queries: DataFrame, hits: DataFrame, count: int = 20, left_anchored: bool = False) -> DataFrame:
     """`id, position, uri, aLabel`: hits `uri, aLabel` that hold every word of `query`, or begin with it, up to `count` each."""
-    h = hits.select("uri", "aLabel").distinct()
+    # Hits with one label differ by their URI alone, so no more than `count` of them can be among the first.
+    if count == 1:
+        h = hits.groupBy("aLabel").agg(F.min("uri").alias("uri")).select("uri", "aLabel")
+    else:
+        same = Window.partitionBy("aLabel").orderBy("uri")
+        h = hits.select("uri", "aLabel").distinct().withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= count).drop("nth")
     asked = queries.select("query").filter("query <> ''").distinct()
     if left_anchored:
         # An equi-join on the beginnings of the labels, of every length that a query has; however many labels begin alike, a
         # query meets only its own.
+        # The shortest label that begins with a query is the query itself, so one with `count` such hits needs no beginnings.
+        # Labels that change their length in lower case have no part in that, as they are ordered by their own length.
         asked = asked.withColumn("low", F.lower("query"))
-        lengths = asked.agg(F.collect_set(F.length("low"))).scalar()
-        low = h.withColumn("low", F.lower("aLabel")).withColumn("n", F.explode(lengths)).filter(F.length("low") >= F.col("n"))
-        met = asked.join(low.select("uri", "aLabel", F.substr("low", F.lit(1), F.col("n")).alias("low")), "low").drop("low")
+        h = h.withColumn("low", F.lower("aLabel"))
+        plain = F.length("low") == F.length("aLabel")
+        equal = asked.join(h.filter(plain), "low")
+        served = equal.groupBy("query").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= count).select("query")
+
+        def begun(q: DataFrame, labels: DataFrame) -> DataFrame:
+            lengths = q.agg(F.collect_set(F.length("low"))).scalar()
+            each = labels.withColumn("n", F.explode(lengths)).filter(F.length("low") >= F.col("n"))
+            return q.join(each.select("uri", "aLabel", F.substr("low", F.lit(1), F.col("n")).alias("low")), "low")
+
+        columns = ["query", "uri", "aLabel"]
+        longer = begun(asked.join(served, "query", "left_anti"), h.filter(plain)).filter(F.lower("aLabel") != F.lower("query"))
+        met = equal.select(*columns).unionByName(longer.select(*columns)).unionByName(begun(asked, h.filter(~plain)).select(*columns))
     else:
         split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
         # Only the query's rarest word is joined on; the others are looked for in what that brings, by their hashes.

@@ -16,7 +16,7 @@ from kinweave.operators import validation as V
 from kinweave.plans import graph_sql as Q
 from kinweave.plans import related as P
 from kinweave.plans.graph_queries import _scored
-from kinweave.session import read
+from kinweave.session import checkpoint, read
 from kinweave.sources import fixture, marc, rdfxml
 
 _C = Config()
@@ -319,9 +319,10 @@ def related_titles(spark: SparkSession, d: str) -> DataFrame:
 
 def label_details(spark: SparkSession, d: str) -> DataFrame:
     """The label endpoint: the hub of each exact label, with the label of the first hit of a search for it."""
-    lab = _labels(spark, d).select("label", "hub_uri").distinct()
+    # Only the smallest hub of a label can be found by it, and be its first hit; written once, as all three tables come from it.
+    lab = checkpoint(_labels(spark, d).groupBy("label").agg(F.min("hub_uri").alias("hub_uri")))
     hits = lab.select(F.col("hub_uri").alias("uri"), F.col("label").alias("aLabel"))
-    wanted = lab.select(F.col("label").alias("id"), "label").distinct()
+    wanted = lab.select(F.col("label").alias("id"), "label")
     return R.label_hits(wanted, lab, lambda q: R.suggest_search(q, hits, 1, left_anchored=True)).select(F.col("id").alias("label"), "uri", "aLabel", "token")
 
 

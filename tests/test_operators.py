@@ -249,3 +249,12 @@ def test_sibling_search(spark):
 def test_verified_hits(spark):
     df = spark.createDataFrame([("1", [("u", (["12 34"],))], "1234"), ("2", [("u", (None,))], "1"), ("3", None, "1"), ("4", [("u", (["1"],))], None)], "id string, hits array<struct<uri string, more struct<identifiers array<string>>>>, lccn string")
     assert [r["v"] for r in df.select("id", R.verified(F.col("hits"), F.col("lccn")).alias("v")).orderBy("id").collect()] == [True, False, False, False]
+
+
+def test_labels_that_are_asked_whole_need_no_beginnings(spark):
+    """Of many hubs with one label only so many are looked at as are asked for, and only queries without enough equal labels are cut."""
+    hits = spark.createDataFrame([(f"u{i}{k}", t) for i, t in enumerate(["Ab", "ab", "abc", "abcd", "İx"]) for k in range(3)], "uri string, aLabel string")
+    queries = spark.createDataFrame([(q, q) for q in ["ab", "a", "abcd", "i̇", "zz", ""]], "id string, query string")
+    got = R.suggest_search(queries, hits, 2, left_anchored=True)
+    assert {tuple(r) for r in got.select("id", "position", "uri").collect()} == {("ab", 1, "u00"), ("ab", 2, "u01"), ("a", 1, "u00"), ("a", 2, "u01"), ("abcd", 1, "u30"), ("abcd", 2, "u31"), ("i̇", 1, "u40"), ("i̇", 2, "u41")}
+    assert "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
