@@ -12,8 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest side, by Catalyst's own estimate, that an operator may broadcast.
-BROADCAST_LIMIT = 32 * 1024 * 1024
+#: Largest side, by Catalyst's own estimate, that an operator may broadcast. The estimate of a few columns is their share of
+#: the compressed file; as text in a hash table they take some sixty times as much, in the driver and in each executor.
+BROADCAST_LIMIT = 256 * 1024
 
 
 def get_spark(app: str = "kinweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -71,8 +72,8 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """A broadcast hint only if the plan's estimated size is within `limit`, else `df` as it is."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    """A broadcast hint only if the plan's estimated size is within `limit`, else one for a shuffle join."""
+    return F.broadcast(df) if estimated_bytes(df) <= limit else spread(df)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -258,3 +258,14 @@ def test_labels_that_are_asked_whole_need_no_beginnings(spark):
     got = R.suggest_search(queries, hits, 2, left_anchored=True)
     assert {tuple(r) for r in got.select("id", "position", "uri").collect()} == {("ab", 1, "u00"), ("ab", 2, "u01"), ("a", 1, "u00"), ("a", 2, "u01"), ("abcd", 1, "u30"), ("abcd", 2, "u31"), ("i̇", 1, "u40"), ("i̇", 2, "u41")}
     assert "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_million_keys_are_not_broadcast(spark, tmp_path):
+    """A column of keys is small in its file, and its estimate with it; as text in a hash table it is not."""
+    from kinweave import session
+
+    spark.range(1_200_000).select("id", *[(F.col("id") % 7).alias(f"c{i}") for i in range(8)]).coalesce(1).write.parquet(str(tmp_path / "part"))
+    uris = spark.read.parquet(str(tmp_path / "part")).select(F.concat(F.lit("http://example.org/hubs/"), "id").alias("uri"))
+    joined = uris.join(session.broadcast_if_small(uris.select("uri")), "uri", "left_semi")
+    assert session.estimated_bytes(uris) < 32 << 20
+    assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
