@@ -64,6 +64,24 @@ def neighbours(relations: DataFrame, sources: DataFrame | None = None) -> DataFr
     return r if sources is None else r.join(broadcast_if_small(sources.select("source_uri").distinct()), "source_uri", "left_semi")
 
 
+def neighbours_of(graph: Graph, sources: DataFrame, config: Config = Config()) -> DataFrame:
+    """The neighbours in both directions of `sources(source_uri)` only, with repeats: what `neighbours` gives for them.
+
+    Relations are turned round before anything is joined, so one shuffle by source serves the sources and the hubs, and one by
+    target serves the hubs, `one_per_target` and the target's context.
+    """
+    r, kept = (graph.relation, ["relation_id"]) if graph.typed is None else (graph.typed, ["types"])
+    ends = lambda a, b, inbound: F.struct(F.col(a).alias("source_uri"), F.col(b).alias("target_uri"), F.lit(inbound).alias("is_inbound"))
+    both = r.select(*kept, F.inline(F.array(ends("source_uri", "target_uri", False), ends("target_uri", "source_uri", True))))
+    t = both.join(broadcast_if_small(sources.select("source_uri").distinct()), "source_uri", "left_semi")
+    hub = broadcast_if_small(graph.hub.select("hub_uri"))
+    t = t.join(hub, t.source_uri == hub.hub_uri, "left_semi").join(hub, t.target_uri == hub.hub_uri, "left_semi")
+    t = t.join(graph.relation_type, "relation_id", "left") if graph.typed is None else t.withColumn("type_uri", F.explode_outer("types"))
+    slug = X.relation_slug(F.col("type_uri"), config)
+    rel_type = F.when(F.col("is_inbound"), F.concat(slug, F.lit(X.INBOUND))).otherwise(slug)
+    return t.filter(not_bnode(F.col("type_uri"))).select("source_uri", "target_uri", rel_type.alias("rel_type"), F.lit(False).alias("is_direct"), "is_inbound")
+
+
 def one_per_target(related: DataFrame) -> DataFrame:
     """One row per source and target: a specific type before one that begins with `related`, outbound before inbound, then by type.
 

@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinweave.config import Config
 from kinweave.model import Graph
 from kinweave.operators import graph as G
 from kinweave.operators import scoring as S
 from kinweave.operators import validation as V
+from kinweave.session import BROADCAST_LIMIT, broadcast_rows, checkpoint, estimated_bytes
 from kinweave.sources import rdfxml
 
 
-def rank_related(graph: Graph, sources: DataFrame | None = None, n: int | None = None, config: Config = Config()) -> DataFrame:
+def rank_related(graph: Graph, sources: DataFrame | None = None, n: int | None = None, config: Config = Config(), freq: DataFrame | None = None) -> DataFrame:
     """Related hubs of every hub, or of `sources(source_uri)`, scored and ranked from the graph.
 
-    With `sources`, relations and contexts are restricted to what they touch before anything else. Scores equal to nine
-    decimals are ranked by target.
+    With `sources`, relations are restricted to what they touch before anything else; contexts too, if the sources are few: for
+    many the context of every hub is less than a second pass over their neighbours. Scores equal to nine decimals are ranked by
+    target. `freq` are the graph's `frequencies`, where they are known already.
     """
-    related = G.one_per_target(G.neighbours(G.typed_relations(graph, config, sources), sources))
     wanted = None
-    if sources is not None:
-        ends = F.explode(F.array("source_uri", "target_uri")).alias("hub_uri")
-        wanted = related.select(ends).distinct()
+    if sources is None:
+        related = G.one_per_target(G.neighbours(G.typed_relations(graph, config)))
+    else:
+        related = G.one_per_target(G.neighbours_of(graph, sources, config))
+        if estimated_bytes(sources) <= BROADCAST_LIMIT:
+            wanted = related.select(F.explode(F.array("source_uri", "target_uri")).alias("hub_uri")).distinct()
     # Agents are only compared, so their hashes do.
     context = G.hub_context(graph, wanted).withColumn("agents", F.transform("agents", lambda a: F.hex(F.xxhash64(a))))
-    scored = S.score(related, context, frequencies(graph, config), config).withColumn("score", F.round("score", 9))
+    scored = S.score(related, context, frequencies(graph, config) if freq is None else freq, config).withColumn("score", F.round("score", 9))
     return S.ranked(scored) if n is None else S.top(scored, n)
 
 
@@ -36,13 +39,13 @@ def frequencies(graph: Graph, config: Config = Config()) -> DataFrame:
     return G.type_frequencies(graph, config)
 
 
-def rank_from_rdf(parsed: DataFrame, graph: Graph, config: Config = Config()) -> DataFrame:
+def rank_from_rdf(parsed: DataFrame, graph: Graph, config: Config = Config(), freq: DataFrame | None = None) -> DataFrame:
     """Related hubs as the hubs' own RDF states them; the targets' context comes from the graph, the sources' from the RDF."""
     rel = rdfxml.dedup_relations(rdfxml.relations(parsed)).withColumn("is_inbound", F.lit(False))
     none = F.array().cast("array<string>")
     own = parsed.select(F.col("uri").alias("hub_uri"), "title", F.coalesce("agents", none).alias("agents"), F.coalesce("media", none).alias("media"))
     context = G.hub_context(graph, rel.select(F.col("target_uri").alias("hub_uri")).distinct())
-    scored = S.score(rel, context, frequencies(graph, config), config, source_context=own)
+    scored = S.score(rel, context, frequencies(graph, config) if freq is None else freq, config, source_context=own)
     titles = rdfxml.relations(parsed).groupBy("source_uri", "target_uri").agg(F.min_by("title", "seq").alias("rdf_title"))
     return S.ranked(scored.join(titles, ["source_uri", "target_uri"], "left").withColumn("title", F.coalesce("rdf_title", "title")).drop("rdf_title"))
 
@@ -53,10 +56,10 @@ def first_candidate(candidates: DataFrame) -> DataFrame:
     return candidates.join(best.withColumnRenamed("id", "b_id"), (F.col("id") == F.col("b_id")) & (F.col("priority") == F.col("best"))).drop("b_id", "best")
 
 
-def primaries(best: DataFrame, records: DataFrame, graph: Graph, rdf_titles: DataFrame | None = None, valid: DataFrame | None = None) -> DataFrame:
-    """`id, primary_uri, hub_title` of each record with results; see `related_works`."""
+def primaries(candidates: DataFrame, records: DataFrame, graph: Graph, rdf_titles: DataFrame | None = None, valid: DataFrame | None = None) -> DataFrame:
+    """`id, source_uri, primary_uri, hub_title` of each candidate hub `id, source_uri, source`; see `related_works`."""
     own = F.col("title") if "title" in records.columns else F.lit(None).cast("string")
-    heads = best.select("id", "source_uri", "source").distinct().join(records.select("id", own.alias("own_title")).distinct(), "id")
+    heads = candidates.select("id", "source_uri", "source").join(records.select("id", own.alias("own_title")).distinct(), "id")
     graph_titles = graph.title.groupBy("hub_uri").agg(F.min(F.get("main_titles", F.lit(0))).alias("graph_title"))
     heads = heads.join(graph_titles.withColumnRenamed("hub_uri", "source_uri"), "source_uri", "left")
     if rdf_titles is not None:
@@ -64,9 +67,9 @@ def primaries(best: DataFrame, records: DataFrame, graph: Graph, rdf_titles: Dat
     else:
         heads = heads.withColumn("rdf_title", F.lit(None).cast("string"))
     title = F.coalesce(F.when(F.col("source") == "rdf", F.col("rdf_title")), "own_title", "graph_title")
-    heads = heads.groupBy("id").agg(F.first("source_uri").alias("hub_uri"), F.first(title).alias("hub_title"))
+    heads = heads.groupBy("id", "source_uri").agg(F.first(title).alias("hub_title")).withColumn("hub_uri", F.col("source_uri"))
     heads = heads if valid is None else V.valid_primary(heads, valid)
-    return heads.select("id", F.col("hub_uri").alias("primary_uri"), "hub_title")
+    return heads.select("id", "source_uri", F.col("hub_uri").alias("primary_uri"), "hub_title")
 
 
 def new_negatives(payloads: DataFrame, as_of: Column, config: Config = Config()) -> DataFrame:
@@ -85,25 +88,39 @@ def related_works(records: DataFrame, graph: Graph, payloads: DataFrame | None =
     """
     as_of = F.current_timestamp() if as_of is None else as_of
     wanted = records.select("id", F.posexplode(F.array("hub_uri", "suggested_uri", "base_uri")).alias("k", "source_uri")).filter("source_uri <> ''")
-    parts, rdf_titles = [], None
+    valid = None if log is None else V.valid_uris(log, as_of, config.validation_ttl)
+    freq = broadcast_rows(frequencies(graph, config), S.MAX_TYPES)[0]
+    order = F.when(F.col("k") == 1, 3).when(F.col("k") == 0, 4)
+    from_graph = wanted.filter("k < 2").select("id", order.alias("priority"), "source_uri").groupBy("id", "source_uri").agg(F.min("priority").alias("priority"))
+    candidates, parsed, rdf_titles = from_graph.withColumn("source", F.lit("graph")), None, None
     if payloads is not None:
         body = rdfxml.usable(payloads)
         if negative is not None:
             body = V.skip_known_empty(body, negative, as_of, config.empty_rdf_ttl)
         body = body.join(wanted.select(F.col("source_uri").alias("hub_uri")).distinct(), "hub_uri", "left_semi")
-        parsed = rdfxml.parse(body, config)
-        rdf, rdf_titles = rank_from_rdf(parsed, graph, config), parsed.select(F.col("uri").alias("source_uri"), F.col("title").alias("rdf_title"))
-        parts.append((wanted.select("id", F.col("k").alias("priority"), "source_uri"), rdf, "rdf"))
-    order = F.when(F.col("k") == 1, 3).when(F.col("k") == 0, 4)
-    from_graph = wanted.filter("k < 2").select("id", order.alias("priority"), "source_uri")
-    parts.append((from_graph, rank_related(graph, from_graph.select("source_uri"), config=config), "graph"))
+        # Each step that is read more than once is written once: a plan that repeats them takes the driver's memory at any size.
+        parsed = checkpoint(rdfxml.parse(body, config))
+        rdf_titles = parsed.select(F.col("uri").alias("source_uri"), F.col("title").alias("rdf_title"))
+        # RDF with any relation has results, so which hub wins is known before anything is scored.
+        some = parsed.filter(F.size("relations") > 0).select(F.col("uri").alias("source_uri")).distinct()
+        found = wanted.join(some, "source_uri").groupBy("id").agg(F.min(F.struct("k", "source_uri")).alias("b"))
+        found = found.select("id", "b.source_uri", F.col("b.k").alias("priority"))
+        candidates = candidates.join(found, "id", "left_anti").unionByName(found.withColumn("source", F.lit("rdf")))
+    heads = primaries(candidates, records, graph, rdf_titles, valid if config.validate_uris else None)
+    candidates = checkpoint(candidates.join(heads, ["id", "source_uri"]))
     columns = ["source_uri", "target_uri", "title", "rel_type", "label", "tier", "score", "rank", "media", "different_author"]
-    every = reduce(DataFrame.unionByName, [w.join(r.select(*columns), "source_uri").withColumn("source", F.lit(s)) for w, r, s in parts])
-    best = first_candidate(every)
-    best = best.join(primaries(best, records, graph, rdf_titles, None if log is None or not config.validate_uris else V.valid_uris(log, as_of, config.validation_ttl)), "id")
+    chosen = candidates.filter("source = 'graph'")
+    sources = from_graph.select("source_uri").join(chosen.select("source_uri"), "source_uri", "left_semi")
+    best = chosen.join(rank_related(graph, sources, config=config, freq=freq).select(*columns), "source_uri")
+    # The suggested hub before the own one: a window, as a join would repeat the whole ranking.
+    best = best.withColumn("best", F.min("priority").over(Window.partitionBy("id"))).filter("priority = best").drop("best")
+    if parsed is not None:
+        chosen = candidates.filter("source = 'rdf'")
+        used = parsed.join(chosen.select(F.col("source_uri").alias("uri")), "uri", "left_semi")
+        best = best.unionByName(chosen.join(rank_from_rdf(used, graph, config, freq).select(*columns), "source_uri"))
     if log is None:
         return best.withColumn("shown_rank", F.col("rank"))
     # Two records may share a hub, so results are shown per record.
     per = best.withColumnRenamed("source_uri", "hub_uri").withColumnRenamed("id", "source_uri")
-    shown = V.shown(per, V.valid_uris(log, as_of, config.validation_ttl), config)
+    shown = V.shown(per, valid, config)
     return shown.withColumnRenamed("source_uri", "id").withColumnRenamed("hub_uri", "source_uri")

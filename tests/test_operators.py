@@ -269,3 +269,31 @@ def test_a_million_keys_are_not_broadcast(spark, tmp_path):
     joined = uris.join(session.broadcast_if_small(uris.select("uri")), "uri", "left_semi")
     assert session.estimated_bytes(uris) < 32 << 20
     assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_pipeline_repeats_no_step(spark):
+    """Each step that is read more than once is written once: repeated, they fill the driver with the plan alone, at any size."""
+    from kinweave.plans import resolve_queries
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("the test tables are not here")
+    for query in (resolve_queries.related_titles, resolve_queries.related_works):
+        plan = query(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan and plan.count("Join ") < 80
+
+
+def test_neighbours_of_some_hubs(spark):
+    """Both directions, with a relation to itself, one to no hub, blank types and none, with and without types written beside."""
+    from kinweave.model import Graph, materialised
+
+    names = lambda c, xs: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    relation = spark.createDataFrame([("1", "a", "b"), ("2", "b", "a"), ("3", "a", "a"), ("4", "a", "gone"), ("5", "c", "b"), ("6", "a", "c"), ("7", None, "a"), ("8", "c", "c")], "relation_id string, source_uri string, target_uri string")
+    kind = spark.createDataFrame([("1", f"{C.relationship_prefixes[0]}sequel"), ("1", "bnode://x"), ("1", f"{C.relationship_prefixes[1]}partof"), ("5", "bnode://y"), ("3", f"{C.relationship_prefixes[0]}sequel")], "relation_id string, type_uri string")
+    hub = names("hub_uri", "abc")
+    g = Graph(hub, hub, hub, hub, hub, relation, kind)
+    for graph in (g, materialised(g)):
+        for some in ("a", "bc", "abc", "x"):
+            got = G.neighbours_of(graph, names("source_uri", [*some, *some]))
+            want = G.neighbours(G.typed_relations(graph), names("source_uri", some))
+            assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
