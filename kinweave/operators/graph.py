@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinweave.config import Config
 from kinweave.functions import exprs as X
 from kinweave.model import Graph
-from kinweave.session import broadcast_if_small
+from kinweave.session import BROADCAST_LIMIT, broadcast_if_small, estimated_bytes, sieve
 
 
 def not_bnode(type_uri: Column) -> Column:
@@ -64,18 +64,21 @@ def neighbours(relations: DataFrame, sources: DataFrame | None = None) -> DataFr
     return r if sources is None else r.join(broadcast_if_small(sources.select("source_uri").distinct()), "source_uri", "left_semi")
 
 
-def neighbours_of(graph: Graph, sources: DataFrame, config: Config = Config()) -> DataFrame:
-    """The neighbours in both directions of `sources(source_uri)` only, with repeats: what `neighbours` gives for them.
+def neighbours_near(graph: Graph, sources: DataFrame, config: Config = Config()) -> DataFrame:
+    """All neighbours in both directions of the hubs `sources(source_uri)`, with repeats, and some of those of others.
 
-    Relations are turned round before anything is joined, so one shuffle by source serves the sources and the hubs, and one by
-    target serves the hubs, `one_per_target` and the target's context.
+    For callers that join by source later and drop the others then: relations are turned round and thinned out before anything is
+    joined, so the first shuffle is by target and serves the hubs, `one_per_target` and the target's context.
     """
     r, kept = (graph.relation, ["relation_id"]) if graph.typed is None else (graph.typed, ["types"])
     ends = lambda a, b, inbound: F.struct(F.col(a).alias("source_uri"), F.col(b).alias("target_uri"), F.lit(inbound).alias("is_inbound"))
     both = r.select(*kept, F.inline(F.array(ends("source_uri", "target_uri", False), ends("target_uri", "source_uri", True))))
-    t = both.join(broadcast_if_small(sources.select("source_uri").distinct()), "source_uri", "left_semi")
+    if estimated_bytes(sources) <= BROADCAST_LIMIT:
+        t = both.join(F.broadcast(sources.select("source_uri").distinct()), "source_uri", "left_semi")
+    else:
+        t = both.filter(sieve(sources.select("source_uri"))(F.col("source_uri")))
     hub = broadcast_if_small(graph.hub.select("hub_uri"))
-    t = t.join(hub, t.source_uri == hub.hub_uri, "left_semi").join(hub, t.target_uri == hub.hub_uri, "left_semi")
+    t = t.join(hub, t.target_uri == hub.hub_uri, "left_semi")
     t = t.join(graph.relation_type, "relation_id", "left") if graph.typed is None else t.withColumn("type_uri", F.explode_outer("types"))
     slug = X.relation_slug(F.col("type_uri"), config)
     rel_type = F.when(F.col("is_inbound"), F.concat(slug, F.lit(X.INBOUND))).otherwise(slug)

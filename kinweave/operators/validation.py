@@ -58,11 +58,18 @@ def shown(ranked: DataFrame, valid: DataFrame, config: Config = Config()) -> Dat
     """
     if not config.validate_uris:
         return ranked.withColumn("shown_rank", F.col("rank"))
-    n = config.max_display
-    window = ranked.filter((F.col("rank") <= max(10, 3 * n)) & (F.col("target_uri") != ""))
-    ok = window.join(broadcast_if_small(valid.select(F.col("uri").alias("target_uri"))), "target_uri", "left_semi")
-    w = Window.partitionBy("source_uri").orderBy("rank")
-    return ok.withColumn("shown_rank", F.row_number().over(w)).filter(F.col("shown_rank") <= n)
+    return kept(looked_up(ranked, config).join(broadcast_if_small(valid.select(F.col("uri").alias("target_uri"))), "target_uri", "left_semi"), config)
+
+
+def looked_up(ranked: DataFrame, config: Config = Config()) -> DataFrame:
+    """The results whose validity is looked up."""
+    return ranked.filter((F.col("rank") <= max(10, 3 * config.max_display)) & (F.col("target_uri") != ""))
+
+
+def kept(ok: DataFrame, config: Config = Config(), key: str = "source_uri") -> DataFrame:
+    """The first valid results per `key`, with their `shown_rank`."""
+    w = Window.partitionBy(key).orderBy("rank")
+    return ok.withColumn("shown_rank", F.row_number().over(w)).filter(F.col("shown_rank") <= config.max_display)
 
 
 def valid_primary(records: DataFrame, valid: DataFrame) -> DataFrame:

@@ -15,23 +15,30 @@ from kinweave.session import BROADCAST_LIMIT, broadcast_rows, checkpoint, estima
 from kinweave.sources import rdfxml
 
 
-def rank_related(graph: Graph, sources: DataFrame | None = None, n: int | None = None, config: Config = Config(), freq: DataFrame | None = None) -> DataFrame:
+def rank_related(graph: Graph, sources: DataFrame | None = None, n: int | None = None, config: Config = Config(), freq: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
     """Related hubs of every hub, or of `sources(source_uri)`, scored and ranked from the graph.
 
     With `sources`, relations are restricted to what they touch before anything else; contexts too, if the sources are few: for
     many the context of every hub is less than a second pass over their neighbours. Scores equal to nine decimals are ranked by
-    target. `freq` are the graph's `frequencies`, where they are known already.
+    target. `freq` are the graph's `frequencies`, where they are known already. The columns of `marks(target_uri, ...)` are added,
+    where the neighbours lie together by target anyway.
     """
     wanted = None
     if sources is None:
         related = G.one_per_target(G.neighbours(G.typed_relations(graph, config)))
     else:
-        related = G.one_per_target(G.neighbours_of(graph, sources, config))
-        if estimated_bytes(sources) <= BROADCAST_LIMIT:
+        small = estimated_bytes(sources) <= BROADCAST_LIMIT
+        sources = sources.select("source_uri").distinct()
+        sources = sources.join(graph.hub.select(F.col("hub_uri").alias("source_uri")), "source_uri", "left_semi")
+        related = G.one_per_target(G.neighbours_near(graph, sources, config))
+        if small:
             wanted = related.select(F.explode(F.array("source_uri", "target_uri")).alias("hub_uri")).distinct()
+    related = related if marks is None else related.join(marks, "target_uri", "left")
     # Agents are only compared, so their hashes do.
     context = G.hub_context(graph, wanted).withColumn("agents", F.transform("agents", lambda a: F.hex(F.xxhash64(a))))
     scored = S.score(related, context, frequencies(graph, config) if freq is None else freq, config).withColumn("score", F.round("score", 9))
+    # Here the rows lie together by source. An inner join, as a semi-join would be moved before the first shuffle.
+    scored = scored if sources is None else scored.join(sources, "source_uri")
     return S.ranked(scored) if n is None else S.top(scored, n)
 
 
@@ -109,18 +116,32 @@ def related_works(records: DataFrame, graph: Graph, payloads: DataFrame | None =
     heads = primaries(candidates, records, graph, rdf_titles, valid if config.validate_uris else None)
     candidates = checkpoint(candidates.join(heads, ["id", "source_uri"]))
     columns = ["source_uri", "target_uri", "title", "rel_type", "label", "tier", "score", "rank", "media", "different_author"]
+    checked = valid is not None and config.validate_uris
     chosen = candidates.filter("source = 'graph'")
-    sources = from_graph.select("source_uri").join(chosen.select("source_uri"), "source_uri", "left_semi")
-    best = chosen.join(rank_related(graph, sources, config=config, freq=freq).select(*columns), "source_uri")
+    sources = checkpoint(from_graph.select("source_uri").distinct().join(chosen.select("source_uri"), "source_uri", "left_semi"))
+    marks = valid.select(F.col("uri").alias("target_uri"), F.lit(True).alias("ok")) if checked else None
+    ranked = rank_related(graph, sources, config=config, freq=freq, marks=marks)
+    ranked = ranked.withColumn("ok", F.coalesce("ok", F.lit(False))) if checked else ranked.withColumn("ok", F.lit(True))
+    # All results of a record come from one hub, so what is shown is the same for each of its records, and cut before they are told apart.
+    if checked:
+        cut = Window.partitionBy("source_uri", "seen").orderBy("rank")
+        seen = (F.col("rank") <= max(10, 3 * config.max_display)) & (F.col("target_uri") != "") & F.col("ok")
+        ranked = ranked.withColumn("seen", seen).withColumn("shown_rank", F.row_number().over(cut))
+        # The first result stays, as it tells that there are any.
+        ranked = ranked.filter((F.col("rank") == 1) | F.col("seen") & (F.col("shown_rank") <= config.max_display))
+    else:
+        ranked = ranked.withColumns({"seen": F.lit(True), "shown_rank": F.col("rank")})
+    best = chosen.join(ranked.select(*columns, "seen", "shown_rank"), "source_uri")
     # The suggested hub before the own one: a window, as a join would repeat the whole ranking.
-    best = best.withColumn("best", F.min("priority").over(Window.partitionBy("id"))).filter("priority = best").drop("best")
-    if parsed is not None:
-        chosen = candidates.filter("source = 'rdf'")
-        used = parsed.join(chosen.select(F.col("source_uri").alias("uri")), "uri", "left_semi")
-        best = best.unionByName(chosen.join(rank_from_rdf(used, graph, config, freq).select(*columns), "source_uri"))
-    if log is None:
-        return best.withColumn("shown_rank", F.col("rank"))
+    best = best.withColumn("best", F.min("priority").over(Window.partitionBy("id"))).filter("priority = best AND seen").drop("best", "seen")
+    if checked:
+        best = best.filter(F.col("shown_rank") <= config.max_display)
+    if parsed is None:
+        return best
+    chosen = candidates.filter("source = 'rdf'")
+    used = parsed.join(chosen.select(F.col("source_uri").alias("uri")), "uri", "left_semi")
+    stated = chosen.join(rank_from_rdf(used, graph, config, freq).select(*columns), "source_uri")
+    if checked:
+        stated = V.looked_up(stated, config).join(valid.select(F.col("uri").alias("target_uri")), "target_uri", "left_semi")
     # Two records may share a hub, so results are shown per record.
-    per = best.withColumnRenamed("source_uri", "hub_uri").withColumnRenamed("id", "source_uri")
-    shown = V.shown(per, valid, config)
-    return shown.withColumnRenamed("source_uri", "id").withColumnRenamed("hub_uri", "source_uri")
+    return best.unionByName(V.kept(stated, config, "id") if checked else stated.withColumn("shown_rank", F.col("rank")))

@@ -7,9 +7,10 @@ import io
 import os
 import re
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side, by Catalyst's own estimate, that an operator may broadcast. The estimate of a few columns is their share of
@@ -97,5 +98,27 @@ def broadcast_rows(df: DataFrame, most: int) -> tuple[DataFrame, list | None]:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows
 
 
+def sieve(keys: DataFrame, most_bits: int = 1 << 26) -> Callable[[Column], Column]:
+    """A test that every value of `keys`, one column of text, passes and most other values fail, to thin out rows before a join.
+
+    A bitmap of hashes with at least 32 bits a key up to `most_bits` (8 MB), where it lets more pass.
+    """
+    spark, (name,) = keys.sparkSession, keys.columns
+    bits = min(most_bits, 1 << max(6, (32 * keys.count() - 1).bit_length()))
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+    word = lambda h: F.shiftright(h, 6).cast("int")
+    one = keys.filter(F.col(name).isNotNull()).select(place(F.col(name)).alias("h")).distinct()
+    one = one.groupBy(word(F.col("h")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    # One row a word, so that a word's place in the array is its number.
+    every = spark.range(bits // 64).select(F.col("id").cast("int").alias("word")).join(one, "word", "left")
+    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"])).scalar()
+
+    def test(c: Column) -> Column:
+        h = place(c)
+        return F.call_function("getbit", F.get(table, word(h)), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return test
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

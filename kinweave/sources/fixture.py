@@ -55,9 +55,11 @@ def graph(spark: SparkSession, d: str, config: Config = Config(), keep: bool = F
     first = F.when((F.col("l_returnflag") == "N") & (F.col("l_suppkey") % 20 == 3), F.concat(F.lit("bnode://"), "relation_id")).otherwise(typed)
     second = F.when(F.col("l_quantity") % 9 == 0, F.lit(f"{vocabulary}relatedwork"))
     own = F.when(F.col("l_suppkey") % 17 != 0, F.array_compact(F.array(first, second)))
-    # The identifier determines both ends, so grouping by it alone is a distinct, and ends and types come from one pass.
-    ends = e.select("relation_id", hub_uri(F.col("l_partkey"), config).alias("source_uri"), target.alias("target_uri"), own.alias("t"))
-    both = ends.groupBy("relation_id").agg(F.first("source_uri").alias("source_uri"), F.first("target_uri").alias("target_uri"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
-    both = both.withColumnRenamed("t", "types")
+    # The numbers in the identifier determine it and both ends, so grouping by them is a distinct. The edges lie together by the
+    # first two, so it needs no shuffle, and what is written is the numbers, not the addresses made of them.
+    numbers = ["l_orderkey", "l_linenumber", "l_partkey", "b_part"]
+    both = e.select(*numbers, own.alias("t")).groupBy(*numbers).agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("types"))
+    both = checkpoint(both) if keep else both
+    both = both.select(F.concat_ws("-", *numbers).alias("relation_id"), hub_uri(F.col("l_partkey"), config).alias("source_uri"), target.alias("target_uri"), "types")
     g = Graph(hub, title, agent, kind, identifier, both.select("relation_id", "source_uri", "target_uri"), both.select("relation_id", F.explode("types").alias("type_uri")))
-    return with_typed(g, checkpoint(both)) if keep else g
+    return with_typed(g, both) if keep else g

@@ -294,6 +294,20 @@ def test_neighbours_of_some_hubs(spark):
     g = Graph(hub, hub, hub, hub, hub, relation, kind)
     for graph in (g, materialised(g)):
         for some in ("a", "bc", "abc", "x"):
-            got = G.neighbours_of(graph, names("source_uri", [*some, *some]))
-            want = G.neighbours(G.typed_relations(graph), names("source_uri", some))
-            assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+            one = names("source_uri", some)
+            for sources in (names("source_uri", [*some, *some]), spark.range(1).select(F.explode(F.array(*map(F.lit, some))).alias("source_uri"))):  # by sieve and by broadcast
+                got = G.neighbours_near(graph, sources).join(one, "source_uri", "left_semi").join(hub.withColumnRenamed("hub_uri", "source_uri"), "source_uri", "left_semi")
+                want = G.neighbours(G.typed_relations(graph), one)
+                assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+
+
+def test_sieve_passes_every_key(spark):
+    from kinweave import session
+
+    keys = spark.range(5000).select(F.concat(F.lit("http://example.org/"), "id").alias("uri"))
+    for most in (1 << 26, 64):
+        test = session.sieve(keys.unionByName(spark.createDataFrame([(None,)], "uri string")), most)
+        assert keys.filter(test(F.col("uri"))).count() == 5000
+    others = spark.range(5000, 55000).select(F.concat(F.lit("http://example.org/"), "id").alias("uri"))
+    assert others.filter(session.sieve(keys)(F.col("uri"))).count() < 5000
+    assert others.filter(session.sieve(keys.limit(0))(F.col("uri"))).count() == 0
